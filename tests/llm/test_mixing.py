@@ -47,7 +47,7 @@ def test_targets_and_words(spark, sf):
 
 
 def test_edges(spark):
-    rows = [(i, "w " * (i % 7), "abc"[i % 3], "") for i in range(60)] + [(None, "one two", None, ""), (99, None, None, ""), (5, "x y", "a", ""), (5, "x y", "a", ""), (7, "long " * 50_000, "z", "")]
+    rows = [(i, "w " * (i % 7), "abc"[i % 3], "") for i in range(60)] + [(None, "one two", None, ""), (99, None, None, ""), (102, "x y", "a", ""), (102, "x y", "a", ""), (77, "long " * 50_000, "z", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = mix_sources(docs).collect()
     assert len(got) == len(rows)
