@@ -50,7 +50,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = TOKEN_LIMIT) ->
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        lexicon: dict[str, int] = {}
+        # the library gives an empty text no pieces, so a lone space is counted after a word
+        lone = {" ": len(model.encode("x ")) - len(model.encode("x"))}
+        lexicon: dict[str, int] = dict(lone)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             totals = [0] * len(texts)
@@ -59,7 +61,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = TOKEN_LIMIT) ->
                 new = [x for x in freq if x not in lexicon]
                 if new:
                     if len(lexicon) + len(new) > LEXICON_ENTRIES:
-                        lexicon, new = {}, list(freq)
+                        lexicon, new = dict(lone), [x for x in freq if x != " "]
                     sizes = dict(zip(new, map(len, model.encode([x[1:] for x in new], num_threads=1))))
                     lexicon.update((x, n) for x, n in sizes.items() if len(x) <= LEXICON_CHARS)
                     totals[i] = sum(n * (lexicon[x] if x in lexicon else sizes[x]) for x, n in freq.items())
