@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts
+from . import bpe, mixing, token_counts
 
 
 def queries() -> dict:
     return {
         "op3_token_counts": token_counts.op3_token_counts,
+        "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
 
