@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secret_scan, token_counts
+from . import bpe, mixing, private_data, secret_scan, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.op2_secrets,
         "op3_token_counts": token_counts.op3_token_counts,
         "op9_bpe": bpe.op9_bpe,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.OP2_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }

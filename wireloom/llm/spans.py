@@ -19,9 +19,10 @@ def spans_of(text: Column, kind: int, pattern: str, gate: Column, group: int = 0
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), F.arrays_zip(hits.alias("whole"), parts.alias("part")), lambda gap, hit: F.struct(
-        F.length(gap).alias("gap"), F.length(hit["whole"]).alias("long"), hit["part"].alias("hit"), F.substring(gap, -CONTEXT, CONTEXT).alias("before")))
+    pairs = F.arrays_zip(hits.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")) if group else hits
+    whole, part = (lambda x: x["whole"], lambda x: x["part"]) if group else (lambda x: x, lambda x: x)
+    zipped = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), pairs, lambda gap, x: F.struct(
+        F.length(gap).alias("gap"), F.length(whole(x)).alias("long"), part(x).alias("hit"), F.substring(gap, -CONTEXT, CONTEXT).alias("before")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
