@@ -76,9 +76,8 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
         weight = F.when(F.col("quality") == label, F.lit(value)).otherwise(weight)
     rows = rows.withColumn("key", sampling_key(F.col("doc_id"), weight, seed))
     rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * KEY_RANGES).cast("int")).drop("quality")
-    rows = materialize(rows, "mix-rows")
-
-    ranges = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
+    # texts are read twice: a few seconds of counting words cost less than keeping a row per document
+    ranges = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")).coalesce(8), "mix-ranges")
     plan = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -88,7 +87,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
     # the range in which the rest ends: the first that reaches it
     edge = ends.where(F.col("up_to") >= F.col("rest")).groupBy("p.source").agg(F.min(F.struct("range", (F.col("up_to") - F.col("range_size")).alias("before"))).alias("edge"))
     plan = plan.alias("p").join(edge.alias("e"), F.expr("p.source <=> e.source"), "left")
-    plan = materialize(plan.select("p.source", "source_size", "target", "epochs", "rest", F.coalesce("edge.range", F.lit(KEY_RANGES + 1)).alias("edge_range"), F.coalesce("edge.before", F.lit(0)).alias("edge_before")), "mix-plan")
+    plan = materialize(plan.select("p.source", "source_size", "target", "epochs", "rest", F.coalesce("edge.range", F.lit(KEY_RANGES + 1)).alias("edge_range"), F.coalesce("edge.before", F.lit(0)).alias("edge_before")).coalesce(1), "mix-plan")
 
     if small(plan, BROADCAST_SOURCES):
         plan = F.broadcast(plan)
