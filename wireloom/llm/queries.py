@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, private_data, secret_scan, token_counts
+from . import bpe, media, mixing, private_data, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.op2_secrets,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op7_media": media.op7_media,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
