@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, private_data, secret_scan, token_counts
+from . import bpe, jaccard_join, media, mixing, private_data, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.op2_secrets,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_jaccard": jaccard_join.op4_jaccard,
         "op7_media": media.op7_media,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
@@ -20,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.OP2_SQL,
+        "op4_jaccard": jaccard_join.OP4_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }
