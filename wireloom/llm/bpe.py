@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -24,6 +26,9 @@ LEXICON_WORDS, LEXICON_BYTES = 65_536, 48
 #: Words that a task remembers, and words that it counts before it hands its counts on.
 MEMO_WORDS, COUNT_WORDS = 300_000, 500_000
 
+#: Words of so many bytes at most are merged by scanning their pairs, longer ones with a heap.
+SHORT, NO_MERGE = 24, (1 << 62, -1)
+
 #: Fixed value: the split into words that the byte-level vocabularies were made with; L and N stand for the two classes.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^\sLN]+|\s+(?!\S)|\s+"""
 
@@ -49,6 +54,17 @@ def word_pattern() -> regex.Pattern:
     return regex.compile(WORD.replace("L", "{letters}").replace("N", "{numbers}").format(letters=letters, numbers=numbers), regex.V1)
 
 
+#: The same split for texts below U+0250, with the classes written out: the plain engine is several times faster there.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+_LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text without special strings."""
+    return (word_pattern() if _BEYOND_LATIN.search(text) else _LATIN).findall(text)
+
+
 @lru_cache(1)
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary: printable Latin-1 as it is, the others from U+0100 on."""
@@ -87,8 +103,29 @@ class Codec:
         yield text[at:], None
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of a word: the pair of lowest rank, leftmost first, until none is left. n log n in the word's length."""
+        """The ids of a word: the pair of lowest rank, leftmost first, until none is left."""
         ids = [self.base[b] for b in word]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get = self.merges.get
+        pairs = [get(p) for p in zip(ids, ids[1:])]
+        while True:
+            best, at = NO_MERGE, -1
+            for i, m in enumerate(pairs):
+                if m is not None and m < best:
+                    best, at = m, i
+            if at < 0:
+                return ids
+            ids[at : at + 2] = [best[1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get((ids[at - 1], ids[at]))
+            if at < len(pairs):
+                pairs[at] = get((ids[at], ids[at + 1]))
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """n log n in the word's length."""
         n, merges = len(ids), self.merges
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
@@ -118,17 +155,19 @@ def word_counts(docs: DataFrame, raw: str) -> DataFrame:
     """Words of all texts with their frequencies: counted in each task, then summed by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, counts, split = _codec(raw), Counter(), word_pattern().findall
+        codec, counts = _codec(raw), Counter()
 
         def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in counts.items() if len(w) <= LEXICON_BYTES and len(w.encode()) <= LEXICON_BYTES]
-            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+            # characters, not bytes: the driver leaves out what is still too long
+            for w in [w for w in counts if len(w) > LEXICON_BYTES]:
+                del counts[w]
+            return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for part, special in codec.segments(text or ""):
                     if special is None:
-                        counts.update(split(part))
+                        counts.update(split_words(part))
             if len(counts) > COUNT_WORDS:
                 yield out()
                 counts.clear()
@@ -143,7 +182,7 @@ def frequent_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_
     raw = open(tokenizer_path, encoding="utf-8").read()
     top = word_counts(docs, raw).orderBy(F.desc("n"), "word").limit(words).collect()
     codec = _codec(raw)
-    return compile_words({(w := r.word.encode()): codec.merge(w) for r in top})
+    return compile_words({w: codec.merge(w) for r in top if len(w := r.word.encode()) <= LEXICON_BYTES})
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_ids: bool = True) -> DataFrame:
@@ -162,37 +201,46 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
     shared = spark.sparkContext.broadcast((open(tokenizer_path, encoding="utf-8").read(), lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, automaton, split = _codec(shared.value[0]), Transducer(shared.value[1]), word_pattern().findall
+        codec, automaton = _codec(shared.value[0]), Transducer(shared.value[1])
         memo: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        size, digits, raw_bytes, id_list = map(itemgetter, range(4))
 
         def known(ids: list[int]) -> tuple[int, str, bytes, list[int]]:
-            return len(ids), ",".join(map(str, ids)), b"".join(map(codec.bytes_of.__getitem__, ids)), ids
+            return len(ids), ",".join(map(str, ids)), b"".join(map(codec.bytes_of.__getitem__, ids)), ids if keep_ids else None
+
+        special = {i: [known([i])] for i in codec.specials.values()}
+
+        def rows_of(words: list[str]) -> list[tuple]:
+            out = list(map(memo.get, words))
+            if None not in out:
+                return out
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            large: dict[str, tuple] = {}
+            for i, got in enumerate(out):
+                if got is not None:
+                    continue
+                word = words[i]
+                if (got := memo.get(word) or large.get(word)) is None:
+                    raw = word.encode()
+                    short = len(raw) <= LEXICON_BYTES
+                    ids = automaton.lookup(raw) if short else None
+                    got = (memo if short else large)[word] = known(codec.merge(raw) if ids is None else ids)
+                out[i] = got
+            return out
 
-        special = {i: known([i]) for i in codec.specials.values()}
         for batch in batches:
             counts, digests, decoded, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
-                words: list = []
+                rows: list[tuple] = []
                 for part, token in codec.segments(text or ""):
-                    if token is not None:
-                        words.append(special[token])
-                        continue
-                    for w in split(part):
-                        if (got := memo.get(w)) is None:
-                            raw = w.encode()
-                            ids = automaton.lookup(raw) if len(raw) <= LEXICON_BYTES else None
-                            got = known(codec.merge(raw) if ids is None else ids)
-                            if len(raw) <= LEXICON_BYTES:
-                                if len(memo) >= MEMO_WORDS:
-                                    memo.clear()
-                                memo[w] = got
-                        words.append(got)
-                counts.append(sum(x[0] for x in words))
-                digests.append(hashlib.sha256(",".join(x[1] for x in words).encode()).hexdigest())
-                back = b"".join(x[2] for x in words).decode("utf-8", "replace")
+                    rows += rows_of(split_words(part)) if token is None else special[token]
+                counts.append(sum(map(size, rows)))
+                digests.append(hashlib.sha256(",".join(map(digits, rows)).encode()).hexdigest())
+                back = b"".join(map(raw_bytes, rows)).decode("utf-8", "replace")
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
                 if keep_ids:
-                    kept.append([i for x in words for i in x[3]])
+                    kept.append([i for ids in map(id_list, rows) for i in ids])
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if keep_ids:
                 out["ids"] = pa.array(kept, pa.list_(pa.int32()))

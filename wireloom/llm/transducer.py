@@ -97,23 +97,23 @@ class Transducer:
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if self._map[: len(_MAGIC)] != _MAGIC:
             raise ValueError("not a transducer")
-        arrays = []
+        view, self._starts, arrays = memoryview(self._map), [], []
         for i, kind in enumerate(self._TYPES):
             at, n = struct.unpack_from("<QQ", self._map, len(_MAGIC) + 16 * i)
-            arrays.append(np.frombuffer(self._map, kind, n, at))
+            arrays.append(view[at : at + n * np.dtype(kind).itemsize].cast(np.dtype(kind).char))
+            self._starts.append(at)
         self._final, self._first, self._labels, self._targets, self._skips, self._ends, self._ids = arrays
         self.states, self.edges = len(self._final), len(self._labels)
 
     def lookup(self, word: bytes) -> list[int] | None:
-        state, number = self.states - 1, 0
-        first, labels = self._first, self._labels
-        for byte in word:
-            a, b = int(first[state]), int(first[state + 1])
-            k = a + int(np.searchsorted(labels[a:b], byte))
-            if k >= b or labels[k] != byte:
+        state, number, base = self.states - 1, 0, self._starts[2]
+        first, targets, skips, find = self._first, self._targets, self._skips, self._map.find
+        for i in range(len(word)):
+            at = find(word[i : i + 1], base + first[state], base + first[state + 1])
+            if at < 0:
                 return None
-            number += int(self._skips[k])
-            state = int(self._targets[k])
+            number += skips[at - base]
+            state = targets[at - base]
         if not self._final[state]:
             return None
         return self._ids[self._ends[number] : self._ends[number + 1]].tolist()
