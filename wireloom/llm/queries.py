@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, media, mixing, nearest, private_data, secret_scan, token_counts
+from . import bpe, jaccard_join, language_id, media, mixing, nearest, private_data, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_jaccard": jaccard_join.op4_jaccard,
         "op5_nearest": nearest.op5_nearest,
+        "op6_language_id": language_id.op6_language_id,
+        "pages_language_id": language_id.pages_language_id,
         "op7_media": media.op7_media,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
