@@ -14,7 +14,7 @@ from operator import itemgetter
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
@@ -27,7 +27,9 @@ LEXICON_WORDS, LEXICON_BYTES = 65_536, 48
 MEMO_WORDS, COUNT_WORDS = 300_000, 500_000
 
 #: Words of so many bytes at most are merged by scanning their pairs, longer ones with a heap.
-SHORT, NO_MERGE = 24, (1 << 62, -1)
+SHORT, NO_MERGE = 24, 1 << 62
+#: The lexicon is the union of the most frequent words of so many hash buckets, so that no task sends more than its share.
+LEXICON_BUCKETS = 64
 
 #: Fixed value: the split into words that the byte-level vocabularies were made with; L and N stand for the two classes.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^\sLN]+|\s+(?!\S)|\s+"""
@@ -87,10 +89,13 @@ class Codec:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(map(back.__getitem__, t)) for t, i in vocab.items()} | {i: t.encode() for t, i in self.specials.items()}
         self.base = [vocab[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: pair -> rank, and the id that a merge of that rank makes
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+            self.made.append(vocab[a + b])
         self.special_split = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -108,41 +113,37 @@ class Codec:
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        pairs = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = NO_MERGE, -1
-            for i, m in enumerate(pairs):
-                if m is not None and m < best:
-                    best, at = m, i
-            if at < 0:
-                return ids
-            ids[at : at + 2] = [best[1]]
+        get, made = self.ranks.get, self.made
+        pairs = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != NO_MERGE:
+            at = pairs.index(best)
+            ids[at : at + 2] = (made[best],)
             del pairs[at]
             if at:
-                pairs[at - 1] = get((ids[at - 1], ids[at]))
+                pairs[at - 1] = get((ids[at - 1], ids[at]), NO_MERGE)
             if at < len(pairs):
-                pairs[at] = get((ids[at], ids[at + 1]))
+                pairs[at] = get((ids[at], ids[at + 1]), NO_MERGE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """n log n in the word's length."""
-        n, merges = len(ids), self.merges
+        n, get = len(ids), self.ranks.get
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             if not alive[i] or ids[i] != a or (j := after[i]) >= n or ids[j] != b:
                 continue
-            ids[i] = merges[a, b][1]
+            ids[i] = self.made[r]
             alive[j] = False
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((ids[i], ids[k])):
-                    heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], ids[i]))):
-                heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
+                if (r := get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (r := get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [x for x, on in zip(ids, alive) if on]
 
 
@@ -178,9 +179,11 @@ def word_counts(docs: DataFrame, raw: str) -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> bytes:
-    """The compiled automaton of the most frequent words (at most `words` of them come to the driver) with their ids."""
+    """The compiled automaton of frequent words with their ids; at most `words` words come to the driver, and no task's list."""
     raw = open(tokenizer_path, encoding="utf-8").read()
-    top = word_counts(docs, raw).orderBy(F.desc("n"), "word").limit(words).collect()
+    first = Window.partitionBy("bucket").orderBy(F.desc("n"), "word")
+    counts = word_counts(docs, raw).where("n > 1").withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(LEXICON_BUCKETS)))
+    top = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= words // LEXICON_BUCKETS).select("word").collect()
     codec = _codec(raw)
     return compile_words({w: codec.merge(w) for r in top if len(w := r.word.encode()) <= LEXICON_BYTES})
 
