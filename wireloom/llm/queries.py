@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, language_id, media, mixing, nearest, private_data, secret_scan, token_counts
+from . import bpe, jaccard_join, language_id, media, mixing, nearest, private_data, repeats, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_language_id": language_id.op6_language_id,
         "pages_language_id": language_id.pages_language_id,
         "op7_media": media.op7_media,
+        "op8_repeats": repeats.op8_repeats,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
