@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import bpe, jaccard_join, language_id, media, mixing, nearest, private_data, repeats, secret_scan, token_counts
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.op2_secrets,
         "op3_token_counts": token_counts.op3_token_counts,
