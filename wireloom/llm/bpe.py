@@ -23,8 +23,8 @@ from .transducer import Transducer, compile_words
 
 #: Most frequent words of the corpus that the lexicon holds, and their largest size; all others are merged.
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 48
-#: Words that a task remembers, and words that it counts before it hands its counts on.
-MEMO_WORDS, COUNT_WORDS = 300_000, 500_000
+#: Words that a worker remembers in each of two generations, and words that a task counts before it hands its counts on.
+MEMO_WORDS, COUNT_WORDS = 250_000, 500_000
 
 #: Words of so many bytes at most are merged by scanning their pairs, longer ones with a heap.
 SHORT, NO_MERGE = 24, 1 << 62
@@ -152,6 +152,63 @@ def _codec(raw: str) -> Codec:
     return Codec(raw)
 
 
+def _valid(raw: bytes) -> bytes:
+    """raw as UTF-8, with the replacement character for what is not."""
+    try:
+        raw.decode()
+        return raw
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+
+
+class WordCache:
+    """What a worker process knows of words: ids, and what is derived from them. It outlives a task.
+
+    Two generations: a full one becomes the old one, and words of the old one that are met again move back.
+    """
+
+    def __init__(self, codec: Codec, automaton: Transducer, keep_ids: bool) -> None:
+        self._codec, self._automaton, self._keep = codec, automaton, keep_ids
+        self._young: dict[str, tuple] = {}
+        self._old: dict[str, tuple] = {}
+        self.special = {i: [self._known([i])] for i in codec.specials.values()}
+
+    def _known(self, ids: list[int]) -> tuple:
+        """Number of ids, the ids as text, the bytes that they give back, and with keep_ids the ids."""
+        out = len(ids), ",".join(map(str, ids)), b"".join(map(self._codec.bytes_of.__getitem__, ids))
+        return (*out, ids) if self._keep else out
+
+    def rows(self, words: list[str]) -> list[tuple]:
+        young = self._young
+        out = list(map(young.get, words))
+        if None not in out:
+            return out
+        if len(young) > MEMO_WORDS:
+            self._old, self._young = young, {}
+            young = self._young
+        old, large, merge, lookup = self._old, {}, self._codec.merge, self._automaton.lookup
+        for i, got in enumerate(out):
+            if got is not None:
+                continue
+            word = words[i]
+            if (got := young.get(word) or large.get(word)) is None:
+                raw = word.encode()
+                if len(raw) > LEXICON_BYTES:
+                    got = large[word] = self._known(merge(raw))
+                else:
+                    if (got := old.get(word)) is None:
+                        ids = lookup(raw)
+                        got = self._known(merge(raw) if ids is None else ids)
+                    young[word] = got
+            out[i] = got
+        return out
+
+
+@lru_cache(1)
+def _cache(raw: str, lexicon: bytes, keep_ids: bool) -> WordCache:
+    return WordCache(_codec(raw), Transducer(lexicon), keep_ids)
+
+
 def word_counts(docs: DataFrame, raw: str) -> DataFrame:
     """Words of all texts with their frequencies: counted in each task, then summed by word."""
 
@@ -191,7 +248,7 @@ def frequent_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_
 def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_ids: bool = True) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids array<int>.
 
-    One row per input row, no shuffle. A word's ids come from the mapped lexicon, else from exact merges; each task
+    One row per input row, no shuffle. A word's ids come from the mapped lexicon, else from exact merges; each worker
     remembers a bounded number of words. ids_sha256 is over the decimal ids joined by commas; decoded_sha256 is over the
     text that the ids give back.
 
@@ -204,44 +261,17 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
     shared = spark.sparkContext.broadcast((open(tokenizer_path, encoding="utf-8").read(), lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, automaton = _codec(shared.value[0]), Transducer(shared.value[1])
-        memo: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        codec, cache = _codec(shared.value[0]), _cache(*shared.value, keep_ids)
         size, digits, raw_bytes, id_list = map(itemgetter, range(4))
-
-        def known(ids: list[int]) -> tuple[int, str, bytes, list[int]]:
-            return len(ids), ",".join(map(str, ids)), b"".join(map(codec.bytes_of.__getitem__, ids)), ids if keep_ids else None
-
-        special = {i: [known([i])] for i in codec.specials.values()}
-
-        def rows_of(words: list[str]) -> list[tuple]:
-            out = list(map(memo.get, words))
-            if None not in out:
-                return out
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            large: dict[str, tuple] = {}
-            for i, got in enumerate(out):
-                if got is not None:
-                    continue
-                word = words[i]
-                if (got := memo.get(word) or large.get(word)) is None:
-                    raw = word.encode()
-                    short = len(raw) <= LEXICON_BYTES
-                    ids = automaton.lookup(raw) if short else None
-                    got = (memo if short else large)[word] = known(codec.merge(raw) if ids is None else ids)
-                out[i] = got
-            return out
-
         for batch in batches:
             counts, digests, decoded, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
                 rows: list[tuple] = []
                 for part, token in codec.segments(text or ""):
-                    rows += rows_of(split_words(part)) if token is None else special[token]
+                    rows += cache.rows(split_words(part)) if token is None else cache.special[token]
                 counts.append(sum(map(size, rows)))
                 digests.append(hashlib.sha256(",".join(map(digits, rows)).encode()).hexdigest())
-                back = b"".join(map(raw_bytes, rows)).decode("utf-8", "replace")
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                decoded.append(hashlib.sha256(_valid(b"".join(map(raw_bytes, rows)))).hexdigest())
                 if keep_ids:
                     kept.append([i for ids in map(id_list, rows) for i in ids])
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
