@@ -37,101 +37,109 @@ def _atom(name: str) -> Column:
     return F.concat(F.lit("{"), F.coalesce("atom_ns", F.lit(ATOM)), F.lit("}" + name))
 
 
-def _finished(rows: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
-    """The fields that are given as columns of their types, the others null."""
-    return rows.select(*keys, *[(fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in ENTRY.items()])
-
-
-def _content(rows: DataFrame, flags: Flags, node: Column, fallback: Column | None) -> DataFrame:
-    """Adds content, and what description is missing."""
-    if not flags.content:
-        return rows.withColumn("content", nested.no(TEXT_DETAIL))
-    rows = rows.withColumn("content", nested.content_of(node, fallback, F.col("item")))
-    return rows.withColumn("description", nested.description_of(F.col("description"), F.col("content")))
-
-
 def _media(flags: Flags) -> Column:
     return F.when(F.col("has_media"), nested.media_items(F.col("item.nodes"))) if flags.media else nested.no(MEDIA_ITEM)
 
 
-def _enclosures(flags: Flags) -> Column:
-    return nested.enclosures(F.col("kids")) if flags.enclosures else nested.no(ENCLOSURE)
+def _permalink(guid: Column) -> Column:
+    return F.coalesce(attr(guid, "isPermaLink") == "true", F.lit(False))
 
 
-def rss_entries(rows: DataFrame, keys: list[str], flags: Flags) -> DataFrame:
-    """rows (keys, atom_ns, has_media, item, kids, grand). Of elements with one local name the first counts, even without text."""
-    kids, item = F.col("kids"), F.col("item")
-    guid = text_of(kids, "guid")
-    rows = rows.withColumn("guid", guid).withColumn("own_link", ustrip(text_of(kids, "link")))
-    rows = rows.withColumn("published", normalize_date(text_of_any(kids, "pubdate", "published", "issued", "date")))
-    rows = rows.withColumn("updated", normalize_date(text_of_any(kids, "lastbuilddate", "updated", "modified")))
-    by_guid = normalize_date(F.when(F.col("published").isNull() & ~is_http_url(F.col("guid")), F.col("guid")))
-    rows = rows.withColumn("published", F.coalesce("published", by_guid, "updated"))
-    rows = rows.withColumn("description", ustrip(text_of_any(kids, "description", "summary")))
-    encoded, bare = first(kids, tagged(q(CONTENT, "encoded"))), first(kids, tagged("content"))
-    rows = _content(rows, flags, F.coalesce(encoded, bare), first_text(kids, "description"))
-    element = first(kids, tagged("guid"))
-    atom_links = F.filter(kids, tagged(_atom("link")))
-    by_links = nested.entry_links(atom_links, F.col("own_link"), ustrip(element["text"]), F.coalesce(attr(element, "isPermaLink") == "true", F.lit(False)))
-    rows = rows.withColumn("by_links", F.when(F.exists(kids, tagged(_atom("link"))), by_links))
-    rows = rows.withColumn("chosen", F.when(F.col("by_links").isNotNull(), F.col("by_links.link")).otherwise(F.coalesce("own_link", F.when(is_http_url(F.col("guid")), F.col("guid")))))
-    own_id = F.coalesce(first(kids, tagged(_atom("id")))["text"], F.col("guid"), nonempty(attr(item, q(RDF, "about"))))
-    name = first(F.col("grand"), lambda n: (n["up"] == _atom("author")) & (n["tag"] == _atom("name")))["text"]
-    return _finished(rows, keys, {
-        "id": F.coalesce(ustrip(own_id), F.col("chosen")), "title": F.coalesce(ustrip(text_of(kids, "title")), F.lit("")), "link": F.col("chosen"),
-        "description": ustrip(F.coalesce("description", F.lit(""))), "published": F.col("published"), "updated": F.col("updated"),
-        "author": F.coalesce(ustrip(text_of_any(kids, "author", "creator")), nonempty(ustrip(name))), "comments": ustrip(text_of(kids, "comments")),
-        "content": F.col("content"), "links": F.coalesce("by_links.links", F.array().cast(f"array<{nested.LINK}>")),
-        "tags": nested.rss_tags(kids, True) if flags.tags else nested.no(TAG), "media_content": _media(flags), "enclosures": _enclosures(flags),
-    })
+#: What the rules of each vocabulary read from an entry's nodes. Dates are texts here: alt stands in for a published that
+#: can't be read, alt_updated for an updated; blocked keeps updated from standing in for published. node and fallback are
+#: where the content is. found: link and links by the Atom links, or null.
+SOURCES = ("id", "title", "own_link", "found", "description", "published", "alt", "blocked", "updated", "alt_updated", "author", "comments", "node", "fallback", "tags")
 
 
-def atom_entries(rows: DataFrame, keys: list[str], flags: Flags) -> DataFrame:
-    """rows as for RSS. Of elements with one tag the first that has text counts."""
-    kids, grand = F.col("kids"), F.col("grand")
+def rss_sources(flags: Flags) -> dict[str, Column]:
+    """RSS: of elements with one local name the first counts, even without text."""
+    kids, item = F.col("kids"), F.col("item")
+    guid, element, own = text_of(kids, "guid"), first(kids, tagged("guid")), ustrip(text_of(kids, "link"))
+    links = F.filter(kids, tagged(_atom("link")))
+    name = first(F.col("grand"), lambda n: (n["up"] == _atom("author")) & (n["tag"] == _atom("name")))["text"]
+    return {
+        "id": ustrip(F.coalesce(first(kids, tagged(_atom("id")))["text"], guid, nonempty(attr(item, q(RDF, "about"))))),
+        "title": ustrip(text_of(kids, "title")),
+        "own_link": F.coalesce(own, F.when(is_http_url(guid), guid)),
+        "found": F.when(F.exists(kids, tagged(_atom("link"))), nested.entry_links(links, own, ustrip(element["text"]), _permalink(element))),
+        "description": ustrip(text_of_any(kids, "description", "summary")),
+        "published": text_of_any(kids, "pubdate", "published", "issued", "date"),
+        "alt": F.when(~is_http_url(guid), guid),
+        "updated": text_of_any(kids, "lastbuilddate", "updated", "modified"),
+        "author": F.coalesce(ustrip(text_of_any(kids, "author", "creator")), nonempty(ustrip(name))),
+        "comments": ustrip(text_of(kids, "comments")),
+        "node": F.coalesce(first(kids, tagged(q(CONTENT, "encoded"))), first(kids, tagged("content"))),
+        "fallback": first_text(kids, "description"),
+        "tags": nested.rss_tags(kids, True) if flags.tags else nested.no(TAG),
+    }
+
+
+def atom_sources(flags: Flags) -> dict[str, Column]:
+    """Atom: of elements with one tag the first that has text counts. Version 0.3 has other names for its dates."""
+    kids = F.col("kids")
     old = F.coalesce(F.col("atom_ns") == ATOM_03, F.lit(False))
-    pick = lambda then, now: F.when(old, _atom(then)).otherwise(_atom(now))
-    date = lambda tag: normalize_date(first_text(kids, tag))
-    rows = rows.withColumn("p", date(pick("issued", "published"))).withColumn("u", date(pick("modified", "updated")))
-    rows = rows.withColumn("updated", F.coalesce("u", normalize_date(F.when(F.col("u").isNull(), first_text(kids, pick("updated", "modified"))))))
-    rows = rows.withColumn("published", F.coalesce("p", normalize_date(F.when(F.col("p").isNull(), first_text(kids, pick("published", "issued")))), "updated"))
-    rows = rows.withColumn("description", ustrip(first_text(kids, _atom("summary"))))
-    rows = _content(rows, flags, first(kids, tagged(_atom("content"))), None)
+    date = lambda then, now: first_text(kids, F.when(old, _atom(then)).otherwise(_atom(now)))
     links = F.filter(kids, tagged(_atom("link")))
     own = nonempty(ustrip(attr(first(links, lambda n: nonempty(attr(n, "href")).isNotNull()), "href")))
-    rows = rows.withColumn("by_links", nested.entry_links(links, own))
     # the first name of an author, of the first author whose first name has text
-    name = first(grand, lambda n: (n["up"] == _atom("author")) & (n["tag"] == _atom("name")) & (n["nth"] == 0) & n["text"].isNotNull())["text"]
-    rows = rows.withColumn("chosen", F.col("by_links.link"))
-    return _finished(rows, keys, {
-        "id": F.coalesce(ustrip(first_text(kids, _atom("id"))), F.col("chosen")), "title": F.coalesce(ustrip(first_text(kids, _atom("title"))), F.lit("")), "link": F.col("chosen"),
-        "description": ustrip(F.coalesce("description", F.lit(""))), "published": F.col("published"), "updated": F.col("updated"), "author": nonempty(ustrip(name)),
-        "content": F.col("content"), "links": F.col("by_links.links"), "tags": nested.atom_tags(kids, _atom("category")) if flags.tags else nested.no(TAG),
-        "media_content": _media(flags), "enclosures": _enclosures(flags),
-    })
-
-
-def rdf_entries(rows: DataFrame, keys: list[str], flags: Flags) -> DataFrame:
-    """rows as for RSS. There is never any content; a date that is there but can't be read keeps others from taking its place."""
-    kids, item = F.col("kids"), F.col("item")
+    name = first(F.col("grand"), lambda n: (n["up"] == _atom("author")) & (n["tag"] == _atom("name")) & (n["nth"] == 0) & n["text"].isNotNull())["text"]
+    return {
+        "id": ustrip(first_text(kids, _atom("id"))), "title": ustrip(first_text(kids, _atom("title"))), "found": nested.entry_links(links, own),
+        "description": ustrip(first_text(kids, _atom("summary"))),
+        "published": date("issued", "published"), "alt": date("published", "issued"), "updated": date("modified", "updated"), "alt_updated": date("updated", "modified"),
+        "author": nonempty(ustrip(name)), "node": first(kids, tagged(_atom("content"))), "tags": nested.atom_tags(kids, _atom("category")) if flags.tags else nested.no(TAG),
+    }
+
+
+def rdf_sources(flags: Flags) -> dict[str, Column]:
+    """RDF: there is never any content; a date that is there but can't be read keeps others from taking its place."""
+    kids = F.col("kids")
     get = Getter(kids, F.col("grand"))
-    rows = rows.withColumn("guid", nonempty(get.plain("guid")))
-    rows = rows.withColumn("p", F.coalesce(nonempty(get.tag(q(DC, "date"))), nonempty(get.tag(q(ATOM, "issued")))))
-    rows = rows.withColumn("u", F.coalesce(nonempty(get.tag(q(DC_TERMS, "modified"))), nonempty(get.tag(q(ATOM, "modified")))))
-    source = F.coalesce(F.col("p"), F.when(~is_http_url(F.col("guid")), F.col("guid")))
-    rows = rows.withColumn("updated", normalize_date(F.col("u"))).withColumn("by_source", normalize_date(source))
-    rows = rows.withColumn("published", F.when(F.col("p").isNotNull(), F.col("by_source")).otherwise(F.coalesce("by_source", "updated")))
-    element = first(kids, tagged("guid"))
+    guid, element = nonempty(get.plain("guid")), first(kids, tagged("guid"))
+    published = F.coalesce(nonempty(get.tag(q(DC, "date"))), nonempty(get.tag(q(ATOM, "issued"))))
     own = nonempty(get.tag(q(RSS_1, "link")))
-    by_links = nested.entry_links(F.filter(kids, tagged(q(ATOM, "link"))), own, ustrip(element["text"]), F.coalesce(attr(element, "isPermaLink") == "true", F.lit(False)))
-    rows = rows.withColumn("by_links", by_links).withColumn("chosen", F.col("by_links.link"))
-    own_id = F.coalesce(nonempty(get.tag(q(ATOM, "id"))), F.col("guid"), nonempty(attr(item, q(RDF, "about"))))
-    return _finished(rows, keys, {
-        "id": F.coalesce(ustrip(own_id), F.col("chosen")), "title": F.coalesce(get.tag(q(RSS_1, "title")), F.lit("")), "link": F.col("chosen"),
-        "description": F.coalesce(get.tag(q(RSS_1, "description")), F.lit("")), "published": F.col("published"), "updated": F.col("updated"),
-        "author": first_nonempty(get.tag(q(DC, "creator")), get.plain("author")), "links": F.col("by_links.links"),
-        "tags": nested.rdf_tags(kids) if flags.tags else nested.no(TAG), "media_content": _media(flags), "enclosures": _enclosures(flags),
-    })
+    return {
+        "id": ustrip(F.coalesce(nonempty(get.tag(q(ATOM, "id"))), guid, nonempty(attr(F.col("item"), q(RDF, "about"))))),
+        "title": get.tag(q(RSS_1, "title")), "description": get.tag(q(RSS_1, "description")),
+        "found": nested.entry_links(F.filter(kids, tagged(q(ATOM, "link"))), own, ustrip(element["text"]), _permalink(element)),
+        "published": published, "alt": F.when(published.isNull() & ~is_http_url(guid), guid), "blocked": published.isNotNull(),
+        "updated": F.coalesce(nonempty(get.tag(q(DC_TERMS, "modified"))), nonempty(get.tag(q(ATOM, "modified")))),
+        "author": first_nonempty(get.tag(q(DC, "creator")), get.plain("author")), "tags": nested.rdf_tags(kids) if flags.tags else nested.no(TAG),
+    }
+
+
+def xml_entries(shredded: DataFrame, keys: list[str], flags: Flags) -> DataFrame:
+    """keys, pos and the fields of every entry of shredded documents.
+
+    Narrow, and one pass for all vocabularies: items are exploded in place, a CASE reads each by its own rules, and what the
+    vocabularies share is computed once.
+    """
+    rows = shredded.select(*keys, "feed_type", "atom_ns", "has_media", F.posexplode("items").alias("pos", "item"))
+    rows = rows.withColumns({"kids": F.filter("item.nodes", lambda n: n["depth"] == 1), "grand": F.filter("item.nodes", lambda n: n["depth"] == 2)})
+    by_kind = {"rss": rss_sources(flags), "atom": atom_sources(flags), "rdf": rdf_sources(flags)}
+    read = {}
+    for name in SOURCES:
+        case = None
+        for kind, sources in by_kind.items():
+            if name in sources:
+                case = (F if case is None else case).when(F.col("feed_type") == kind, sources[name])
+        read["s_" + name] = case
+    rows = rows.withColumns(read)
+    rows = rows.withColumns({"p": normalize_date(F.col("s_published")), "u": normalize_date(F.col("s_updated"))})
+    rows = rows.withColumns({"p2": normalize_date(F.when(F.col("p").isNull(), F.col("s_alt"))), "u2": normalize_date(F.when(F.col("u").isNull(), F.col("s_alt_updated")))})
+    updated = F.coalesce("u", "u2")
+    link = F.when(F.col("s_found").isNotNull(), F.col("s_found.link")).otherwise(F.col("s_own_link"))
+    description = F.col("s_description")
+    if flags.content:
+        rows = rows.withColumn("content", nested.content_of(F.col("s_node"), F.col("s_fallback"), F.col("item")))
+        description = nested.description_of(description, F.col("content"))
+    fields = {
+        "id": F.coalesce("s_id", link), "title": F.coalesce("s_title", F.lit("")), "link": link, "description": ustrip(F.coalesce(description, F.lit(""))),
+        "published": F.coalesce("p", "p2", F.when(~F.coalesce("s_blocked", F.lit(False)), updated)), "updated": updated, "author": F.col("s_author"), "comments": F.col("s_comments"),
+        "content": F.col("content") if flags.content else nested.no(TEXT_DETAIL), "links": F.coalesce("s_found.links", F.array().cast(f"array<{nested.LINK}>")),
+        "tags": F.col("s_tags"), "media_content": _media(flags), "enclosures": nested.enclosures(F.col("kids")) if flags.enclosures else nested.no(ENCLOSURE),
+    }
+    return rows.select(*keys, "pos", *[(fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in ENTRY.items()])
 
 
 def with_authors(entries: DataFrame) -> DataFrame:
@@ -141,12 +149,3 @@ def with_authors(entries: DataFrame) -> DataFrame:
         "author_detail": detail, "authors": F.when(detail.isNotNull(), F.array(detail)),
         "published_ts": to_timestamp(F.col("published")), "updated_ts": to_timestamp(F.col("updated")),
     })
-
-
-def xml_entries(shredded: DataFrame, keys: list[str], flags: Flags) -> DataFrame:
-    """keys, pos and the fields of every entry of shredded documents. Narrow: items are exploded in place."""
-    rows = shredded.select(*keys, "feed_type", "atom_ns", "has_media", F.posexplode("items").alias("pos", "item"))
-    rows = rows.withColumns({"kids": F.filter("item.nodes", lambda n: n["depth"] == 1), "grand": F.filter("item.nodes", lambda n: n["depth"] == 2)})
-    keys = [*keys, "pos"]
-    parts = [f(rows.where(F.col("feed_type") == kind), keys, flags) for kind, f in (("rss", rss_entries), ("atom", atom_entries), ("rdf", rdf_entries))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
