@@ -7,9 +7,11 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from operator import itemgetter
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .transducer import Transducer, compile_words
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 48
 #: Words that a worker remembers in each of two generations, and words that a task counts before it hands its counts on.
 MEMO_WORDS, COUNT_WORDS = 250_000, 500_000
+#: The same where the ids themselves are kept, in workers that other stages of a pipeline use, too.
+MEMO_WITH_IDS = 60_000
 
 #: Words of so many bytes at most are merged by scanning their pairs, longer ones with a heap.
 SHORT, NO_MERGE = 24, 1 << 62
@@ -174,16 +178,16 @@ class WordCache:
         self.special = {i: [self._known([i])] for i in codec.specials.values()}
 
     def _known(self, ids: list[int]) -> tuple:
-        """Number of ids, the ids as text, the bytes that they give back, and with keep_ids the ids."""
+        """Number of ids, the ids as text, the bytes that they give back, and with keep_ids the ids as 32-bit integers."""
         out = len(ids), ",".join(map(str, ids)), b"".join(map(self._codec.bytes_of.__getitem__, ids))
-        return (*out, ids) if self._keep else out
+        return (*out, array("i", ids).tobytes()) if self._keep else out
 
     def rows(self, words: list[str]) -> list[tuple]:
         young = self._young
         out = list(map(young.get, words))
         if None not in out:
             return out
-        if len(young) > MEMO_WORDS:
+        if len(young) > (MEMO_WITH_IDS if self._keep else MEMO_WORDS):
             self._old, self._young = young, {}
             young = self._young
         old, large, merge, lookup = self._old, {}, self._codec.merge, self._automaton.lookup
@@ -273,10 +277,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
                 digests.append(hashlib.sha256(",".join(map(digits, rows)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(_valid(b"".join(map(raw_bytes, rows)))).hexdigest())
                 if keep_ids:
-                    kept.append([i for ids in map(id_list, rows) for i in ids])
+                    kept.append(b"".join(map(id_list, rows)))
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if keep_ids:
-                out["ids"] = pa.array(kept, pa.list_(pa.int32()))
+                flat = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(kept))])
+                out["ids"] = pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), flat)
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, small, table
@@ -194,9 +194,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     classes = materialize(named.join(least, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")), "jaccard-classes")
 
-    keys = _block_keys(docs, k, percent).repartition("key")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    hits = keys.join(shared.hint("shuffle_hash"), "key").join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
+    # one shuffle of the keys; the window spills, so a bucket of any size passes
+    bucket = Window.partitionBy("key")
+    shared = _block_keys(docs, k, percent).withColumns({"lo": F.min("doc_id").over(bucket), "hi": F.max("doc_id").over(bucket)}).where("lo <> hi")
+    hits = shared.join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
     hits = materialize(hits, "jaccard-hits")
     hubs = hits.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub <> hi").select("key", "hub")
     members = materialize(hits.join(hubs, "key").select("key", "doc_id", "hub"), "jaccard-members")
