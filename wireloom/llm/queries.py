@@ -30,7 +30,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_private": private_data.op1_private,
         "op2_secrets": secret_scan.OP2_SQL,
         "op4_jaccard": jaccard_join.OP4_SQL,
         "op10_mixing": mixing.OP10_SQL,
