@@ -57,7 +57,7 @@ def test_made_up_texts(spark, monkeypatch, bucket):
 
 
 def test_without_broadcasts_and_with_bytes(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(repeats, "BROADCAST_ITEMS", -1)
     rows = list(enumerate(made_up(9)))
     out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got(out) == brute(rows)

@@ -61,6 +61,9 @@ def _blind_trie(items: list[int], strings: list[bytes], numbers: list[int], widt
 def sort_strings(strings: list[bytes], width: int) -> tuple[list[int], list[int]]:
     """The order of strings that are all `width` bytes long, and each one's common prefix with the one before it in that order."""
     numbers = [int.from_bytes(s, "big") for s in strings]
+    if len(strings) == 2:
+        order = [0, 1] if numbers[0] <= numbers[1] else [1, 0]
+        return order, [0, lcp(*numbers, width)]
     out: list[int] = []
     stack: list[tuple[list[int], int]] = [(list(range(len(strings))), 0)]
     while stack:
@@ -68,6 +71,9 @@ def sort_strings(strings: list[bytes], width: int) -> tuple[list[int], list[int]
         if len(items) < 2:
             out += items
             continue
+        # what all of them share is stepped over at once
+        group = [numbers[i] for i in items]
+        depth = max(depth, lcp(min(group), max(group), width) // STEP * STEP)
         if depth >= min(SHALLOW, width):
             out += _blind_trie(items, strings, numbers, width)
             continue

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, small, table
+from .common import arrow_rows, materialize, table
 from .deep_shallow import intervals, lcp, sort_strings
 from .shingles import mix
 
@@ -22,8 +22,8 @@ LENGTH, GRAM = 400, 64
 LEFT = LENGTH - GRAM
 #: Buckets with more contexts are split by what the contexts share, into so many ranges of the string's start.
 BUCKET, RANGES = 4096, 8
-#: Up to so many rows are broadcast to the documents' texts (some 100 bytes each); beyond, the texts are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Up to so many places or ranges (some 40 bytes each) are broadcast to the texts; beyond, the texts are joined by a shuffle.
+BROADCAST_ITEMS = 300_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -73,7 +73,10 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """d (16 bytes of the text's digest), pos, g (gram), c (context), l, r: bytes of the context before and from the anchor."""
+    """d (16 bytes of the text's digest), pos, g (gram), c (context), l, r: bytes of the context before and from the anchor.
+
+    A context that a text holds several times is one row, at its first place; own has the ranges that its places cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -86,20 +89,25 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 if len(seen) < 1_000_000:
                     seen.add(d)
                 at, h = anchors(np.frombuffer(raw, np.uint8))
+                places: dict[tuple, list[int]] = {}
                 for i, g in zip(at.tolist(), h.view(np.int64).tolist()):
                     left, right = min(i, LEFT), min(len(raw) - i, LENGTH)
                     c = xxhash.xxh3_64_intdigest(raw[i - left : i + right], left)
-                    out.append((d, i, g, c - (1 << 63), left, right))
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate(zip(("d", "pos", "g", "c", "l", "r"), kinds))})
+                    places.setdefault((g, c - (1 << 63), left, right), []).append(i)
+                for (g, c, left, right), found in places.items():
+                    own = merge_spans([(i - left, i + right) for i in found]) if len(found) > 1 and left + right >= LENGTH else None
+                    out.append((d, found[0], g, c, left, right, len(found) > 1, own and [{"start": a, "end": b} for a, b in own]))
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), span)
+            yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate(zip(("d", "pos", "g", "c", "l", "r", "twice", "own"), kinds))})
 
-    return docs.select("text").mapInArrow(run, "d binary, pos int, g long, c long, l int, r int")
+    return docs.select("text").mapInArrow(run, "d binary, pos int, g long, c long, l int, r int, twice boolean, own array<struct<start:int,end:int>>")
 
 
-def _with_texts(docs: DataFrame, by_digest: DataFrame) -> DataFrame:
-    """The texts of the documents in by_digest (one row for each d) with its columns."""
+def _with_texts(docs: DataFrame, by_digest: DataFrame, items: str) -> DataFrame:
+    """The texts of the documents in by_digest (one row for each d) with its columns; items is its array column."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    if small(by_digest, BROADCAST_ROWS):
+    if (by_digest.agg(F.sum(F.size(items))).collect()[0][0] or 0) <= BROADCAST_ITEMS:
         return texts.join(F.broadcast(by_digest), "d")
     return texts.join(by_digest.hint("shuffle_hash"), "d")
 
@@ -112,21 +120,21 @@ def covered(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
     agree with a context in r bytes to the right are a run in the one order; of those, the ones that agree farthest to the
     left are its neighbours in the other order.
     """
-    rights = [x[left : left + right] for x, left, right in contexts]
-    lefts = [x[:left][::-1] for x, left, _ in contexts]
-    out = []
-    for near, near_width, far, far_width in ((rights, LENGTH, lefts, LEFT), (lefts, LEFT, rights, LENGTH)):
+    sides = []
+    for strings, width in (([x[left : left + right] for x, left, right in contexts], LENGTH), ([x[:left][::-1] for x, left, _ in contexts], LEFT)):
         # past the end of a text stands a zero; lengths then bound what is common
-        order, prefixes = sort_strings([s.ljust(near_width, b"\0") for s in near], near_width)
-        prefixes = [0] + [min(p, len(near[a]), len(near[b])) for p, a, b in zip(prefixes[1:], order, order[1:])]
-        padded = [s.ljust(far_width, b"\0") for s in far]
-        numbers = [int.from_bytes(s, "big") for s in padded]
-        rank = {item: k for k, item in enumerate(sort_strings(padded, far_width)[0])}
+        padded, lengths = [s.ljust(width, b"\0") for s in strings], list(map(len, strings))
+        order, prefixes = sort_strings(padded, width)
+        prefixes = [0] + [min(p, lengths[a], lengths[b]) for p, a, b in zip(prefixes[1:], order, order[1:])]
+        sides.append((width, lengths, [int.from_bytes(s, "big") for s in padded], order, prefixes, {item: k for k, item in enumerate(order)}))
+    out = []
+    for near, far in (sides, sides[::-1]):
+        width, lengths, numbers, _, _, rank = far
         best = [0] * len(contexts)
-        for depth, first, last in intervals(prefixes, LENGTH - far_width):
-            run = sorted(order[first : last + 1], key=rank.__getitem__)
+        for depth, first, last in intervals(near[4], LENGTH - width):
+            run = sorted(near[3][first : last + 1], key=rank.__getitem__)
             for a, b in zip(run, run[1:]):
-                common = min(lcp(numbers[a], numbers[b], far_width), len(far[a]), len(far[b]))
+                common = min(lcp(numbers[a], numbers[b], width), lengths[a], lengths[b])
                 if common + depth >= LENGTH:
                     best[a], best[b] = max(best[a], common), max(best[b], common)
         out.append(best)
@@ -185,7 +193,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate(zip(names, kinds))})
 
-    rows = _with_texts(docs, by_doc).select("d", "text", "at")
+    rows = _with_texts(docs, by_doc, "at").select("d", "text", "at")
     schema = "g long, c long, d binary, pos int, single boolean, context binary, l int, r int, part int, share long"
     # copies of a document give a context again
     return rows.mapInArrow(run, schema).repartition("g", "part", "share").dropDuplicates(["g", "part", "share", "c"]).sortWithinPartitions("g", "part", "share")
@@ -201,14 +209,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
        prefixes and suffixes say what is covered. Large buckets are split first.
     """
     found = materialize(_anchor_rows(docs), "repeats-anchors").withColumn("occ", F.xxhash64("d", "pos"))
-    grams = found.groupBy("g").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("lo <> hi")
-    kept = materialize(found.join(grams.select("g", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "g").distinct(), "repeats-kept")
-    contexts = kept.groupBy("g", "c").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.first("mixed").alias("mixed"))
-    whole = kept.join(contexts.where("lo <> hi").select("g", "c"), ["g", "c"]).where(F.col("l") + F.col("r") >= LENGTH)
-    whole = whole.select("d", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
-    sizes = contexts.where("mixed").groupBy("g").agg(F.count("*").alias("n"), F.max((F.col("lo") == F.col("hi"))).alias("any")).where("any")
-    one = contexts.where("mixed").select("g", "c", F.col("lo").alias("occ"), (F.col("lo") == F.col("hi")).alias("single"))
-    wanted = kept.drop("mixed").join(one, ["g", "c", "occ"]).join(sizes.select("g", (F.col("n") > BUCKET).alias("large")), "g")
+    grams = found.groupBy("g").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.max("twice").alias("twice")).where("lo <> hi or twice")
+    # copies of a text in several tasks give their rows again: counts below are of distinct occ
+    kept = materialize(found.join(grams.select("g", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "g"), "repeats-kept")
+    contexts = kept.groupBy("g", "c").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.max("twice").alias("twice"), F.max("mixed").alias("mixed"))
+    repeated = F.col("twice") | (F.col("lo") != F.col("hi"))
+    whole = kept.drop("twice").join(contexts.where(repeated).select("g", "c"), ["g", "c"]).where(F.col("l") + F.col("r") >= LENGTH)
+    range_of = F.array(F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")))
+    whole = whole.select("d", F.explode(F.coalesce("own", range_of)).alias("s")).select("d", "s.start", "s.end")
+    sizes = contexts.where("mixed").groupBy("g").agg(F.count("*").alias("n"), F.max(~repeated).alias("any")).where("any")
+    one = contexts.where("mixed").select("g", "c", F.col("lo").alias("occ"), (~repeated).alias("single"))
+    wanted = kept.drop("mixed", "twice", "own").join(one, ["g", "c", "occ"]).join(sizes.select("g", (F.col("n") > BUCKET).alias("large")), "g")
     parts = materialize(_resolve(_contexts(docs, wanted)), "repeats-parts")
     return whole.union(parts).distinct().groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -255,7 +266,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in out], t) for k, (n, t) in enumerate(zip(("digest", "n_removed", "n_spans", "kept_sha256", "kept"), kinds))})
 
-    cuts = _with_texts(docs, spans).select("d", "text", "spans").mapInArrow(cut, "digest string, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cuts = _with_texts(docs, spans, "spans").select("d", "text", "spans").mapInArrow(cut, "digest string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cuts = materialize(cuts if keep_text else cuts.drop("kept"), "repeats-cuts").dropDuplicates(["digest"])
     joined = rows.join(cuts, "digest", "left").join(copies, "digest", "left")
     pick = lambda all_gone, name, none: F.when(F.col("copied"), all_gone).otherwise(F.coalesce(F.col(name), none))
