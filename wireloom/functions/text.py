@@ -23,7 +23,8 @@ def let(value: Column, body) -> Column:
 
 def ustrip(c: Column) -> Column:
     """c without white space at both ends (Unicode, not spaces alone)."""
-    return F.regexp_replace(c, rf"^{SPACE}++|{SPACE}++$", "")
+    ends = lambda t: F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+    return let(c, lambda t: F.when(ends(t).rlike(SPACE), F.regexp_replace(t, rf"^{SPACE}++|{SPACE}++$", "")).otherwise(t))
 
 
 def collapse(c: Column) -> Column:

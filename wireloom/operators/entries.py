@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import normalize_date, to_timestamp
+from ..functions.dates import to_timestamp, with_first_dates
 from ..functions.text import first_nonempty, is_http_url, nonempty, ustrip
 from ..names import ATOM, ATOM_03, CONTENT, DC, DC_TERMS, ENCLOSURE, MEDIA_ITEM, RDF, RSS_1, TAG, TEXT_DETAIL, q
 from . import nested
@@ -125,17 +125,17 @@ def xml_entries(shredded: DataFrame, keys: list[str], flags: Flags) -> DataFrame
                 case = (F if case is None else case).when(F.col("feed_type") == kind, sources[name])
         read["s_" + name] = case
     rows = rows.withColumns(read)
-    rows = rows.withColumns({"p": normalize_date(F.col("s_published")), "u": normalize_date(F.col("s_updated"))})
-    rows = rows.withColumns({"p2": normalize_date(F.when(F.col("p").isNull(), F.col("s_alt"))), "u2": normalize_date(F.when(F.col("u").isNull(), F.col("s_alt_updated")))})
-    updated = F.coalesce("u", "u2")
     link = F.when(F.col("s_found").isNotNull(), F.col("s_found.link")).otherwise(F.col("s_own_link"))
     description = F.col("s_description")
     if flags.content:
         rows = rows.withColumn("content", nested.content_of(F.col("s_node"), F.col("s_fallback"), F.col("item")))
         description = nested.description_of(description, F.col("content"))
+    # dates and description need Python for some rows: side by side, they pass it in one step
+    dates = {"p": (F.col("s_published"), F.col("s_alt")), "u": (F.col("s_updated"), F.col("s_alt_updated"))}
+    rows = with_first_dates(rows, dates, description=description)
     fields = {
-        "id": F.coalesce("s_id", link), "title": F.coalesce("s_title", F.lit("")), "link": link, "description": ustrip(F.coalesce(description, F.lit(""))),
-        "published": F.coalesce("p", "p2", F.when(~F.coalesce("s_blocked", F.lit(False)), updated)), "updated": updated, "author": F.col("s_author"), "comments": F.col("s_comments"),
+        "id": F.coalesce("s_id", link), "title": F.coalesce("s_title", F.lit("")), "link": link, "description": ustrip(F.coalesce("description", F.lit(""))),
+        "published": F.coalesce("p", F.when(~F.coalesce("s_blocked", F.lit(False)), F.col("u"))), "updated": F.col("u"), "author": F.col("s_author"), "comments": F.col("s_comments"),
         "content": F.col("content") if flags.content else nested.no(TEXT_DETAIL), "links": F.coalesce("s_found.links", F.array().cast(f"array<{nested.LINK}>")),
         "tags": F.col("s_tags"), "media_content": _media(flags), "enclosures": nested.enclosures(F.col("kids")) if flags.enclosures else nested.no(ENCLOSURE),
     }

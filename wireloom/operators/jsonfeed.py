@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import normalize_date
+from ..functions.dates import with_first_dates
 from ..functions.text import first_nonempty, lenient_int, nonempty
 from ..names import ENCLOSURE, LINK, TAG, TEXT_DETAIL
 from . import nested
@@ -69,9 +69,11 @@ def json_entries(rows: DataFrame, keys: list[str], flags: Flags) -> DataFrame:
     author = F.when(F.size(i["authors"]) > 0, F.coalesce(F.get(i["authors"], F.lit(0))["name"], F.lit(""))).otherwise(F.when(i["author"].isNotNull(), F.coalesce(i["author"]["name"], F.lit(""))))
     files = F.filter(i["attachments"], lambda a: nonempty(a["url"]).isNotNull())
     files = F.transform(files, lambda a: nested.struct(ENCLOSURE, url=a["url"], type=F.coalesce(a["mime_type"], F.lit("")), length=F.nullif(lenient_int(a["size_in_bytes"]), F.lit(0).cast("bigint"))))
+    none = F.lit(None).cast("string")
+    rows = with_first_dates(rows, {"published": (nonempty(i["date_published"]), none), "updated": (nonempty(i["date_modified"]), none)})
     values = {
         "id": F.coalesce(i["id"], i["url"], F.lit("")), "title": F.coalesce(i["title"], F.lit("")), "link": F.coalesce(i["url"], F.lit("")), "description": described,
-        "published": normalize_date(nonempty(i["date_published"])), "updated": normalize_date(nonempty(i["date_modified"])), "author": author,
+        "published": F.col("published"), "updated": F.col("updated"), "author": author,
         "image": nonempty(i["image"]), "banner_image": nonempty(i["banner_image"]),
         "content": content if flags.content else nested.no(TEXT_DETAIL),
         "links": F.array_compact(F.array(_link("alternate", "text/html", i["url"]), _link("related", "text/html", i["external_url"]))),
