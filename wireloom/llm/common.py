@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch in the Python operators: whole texts of up to some MB still fit a worker.
 ARROW_ROWS = 512
@@ -50,3 +51,13 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, one row for each key, as the side of a join whose other side may hold a hot key.
+
+    The keys become equal, computed columns. An aggregate's rows stay where they are for a join on its own keys, and then
+    Spark can't split the other side's large partitions; computed keys are dealt anew, and it can.
+    """
+    computed = {k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) if df.schema[k].dataType.simpleString() == "bigint" else F.concat(F.col(k), F.lit("")) for k in keys}
+    return df.withColumns(computed)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, small, table
+from .common import arrow_rows, materialize, small, spread, table
 from .components import components
 from .shingles import Bands, fold, parity_sketch, set_digest, shingle_hashes
 
@@ -142,7 +142,7 @@ def _near_pairs(rows: list[tuple], i: int, j: int, percent: int, forest: bool) -
 def _tile_pairs(members: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
     """members (key, doc_id, component) of open buckets -> candidate pairs a, b."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    rows = members.join(sizes, "key").withColumn("part", F.pmod(F.hash("doc_id"), "parts"))
+    rows = members.join(spread(sizes, "key"), "key").withColumn("part", F.pmod(F.hash("doc_id"), "parts"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "component", "part")
     tiles = rows.join(sketches, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -192,7 +192,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     sets = materialize(shingle_sets(docs, k), "jaccard-sets")
     named = sets.where("n_shingles > 0 and doc_id is not null")
     least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(named.join(least, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")), "jaccard-classes")
+    classes = materialize(named.join(spread(least, "d1", "d2"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")), "jaccard-classes")
 
     # one shuffle of the keys; the window spills, so a bucket of any size passes
     bucket = Window.partitionBy("key")
@@ -200,7 +200,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     hits = shared.join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
     hits = materialize(hits, "jaccard-hits")
     hubs = hits.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub <> hi").select("key", "hub")
-    members = materialize(hits.join(hubs, "key").select("key", "doc_id", "hub"), "jaccard-members")
+    members = materialize(hits.join(spread(hubs, "key"), "key").select("key", "doc_id", "hub"), "jaccard-members")
 
     # a doc_id with several texts belongs to several classes, which are one document
     links = classes.where("class_id <> other").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
@@ -209,7 +209,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     for forest in (True, False):
         known = members.where("doc_id <> hub").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         open_keys = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        todo = materialize(known.join(open_keys, "key", "left_semi"), "jaccard-open")
+        todo = materialize(known.join(spread(open_keys, "key"), "key", "left_semi"), "jaccard-open")
         if todo.limit(1).count() == 0:
             break
         sketches = materialize(_sketches(docs, todo.select("doc_id").distinct(), k), "jaccard-sketches")
