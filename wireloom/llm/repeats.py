@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, table
+from .common import arrow_rows, materialize, spread, table
 from .deep_shallow import intervals, lcp, sort_strings
 from .shingles import mix
 
@@ -211,15 +211,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = materialize(_anchor_rows(docs), "repeats-anchors").withColumn("occ", F.xxhash64("d", "pos"))
     grams = found.groupBy("g").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.max("twice").alias("twice")).where("lo <> hi or twice")
     # copies of a text in several tasks give their rows again: counts below are of distinct occ
-    kept = materialize(found.join(grams.select("g", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "g"), "repeats-kept")
+    kept = materialize(found.join(spread(grams.select("g", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "g"), "g"), "repeats-kept")
     contexts = kept.groupBy("g", "c").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.max("twice").alias("twice"), F.max("mixed").alias("mixed"))
     repeated = F.col("twice") | (F.col("lo") != F.col("hi"))
-    whole = kept.drop("twice").join(contexts.where(repeated).select("g", "c"), ["g", "c"]).where(F.col("l") + F.col("r") >= LENGTH)
+    whole = kept.drop("twice").join(spread(contexts.where(repeated).select("g", "c"), "g", "c"), ["g", "c"]).where(F.col("l") + F.col("r") >= LENGTH)
     range_of = F.array(F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")))
     whole = whole.select("d", F.explode(F.coalesce("own", range_of)).alias("s")).select("d", "s.start", "s.end")
     sizes = contexts.where("mixed").groupBy("g").agg(F.count("*").alias("n"), F.max(~repeated).alias("any")).where("any")
     one = contexts.where("mixed").select("g", "c", F.col("lo").alias("occ"), (~repeated).alias("single"))
-    wanted = kept.drop("mixed", "twice", "own").join(one, ["g", "c", "occ"]).join(sizes.select("g", (F.col("n") > BUCKET).alias("large")), "g")
+    wanted = kept.drop("mixed", "twice", "own").join(spread(one, "g", "c", "occ"), ["g", "c", "occ"]).join(spread(sizes.select("g", (F.col("n") > BUCKET).alias("large")), "g"), "g")
     parts = materialize(_resolve(_contexts(docs, wanted)), "repeats-parts")
     return whole.union(parts).distinct().groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
