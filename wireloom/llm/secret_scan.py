@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, spread, table
 from .spans import count_kind, digest_text, spans_of
 
 #: Kinds in their order.
@@ -67,7 +67,7 @@ class Ledger:
     def findings(self, versions: DataFrame, rules_version: int = RULES_VERSION) -> DataFrame:
         """versions -> path, found: the ledger's findings at every path that a content stands at."""
         at = versions.select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-        dirty = self.scanned(versions.sparkSession, rules_version).where(F.size("found") > 0)
+        dirty = spread(self.scanned(versions.sparkSession, rules_version).where(F.size("found") > 0), "digest")
         return at.join(dirty, "digest", "left").select("path", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
