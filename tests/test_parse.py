@@ -115,3 +115,16 @@ def test_reports(spark):
     assert [r.feed_id for r in report.slowest(c).collect()] == [3]
     t = report.totals(c).collect()[0]
     assert (t.feeds, t.our_secs, t.speedup) == (2, 3.0, 5.0 / 3.0)
+
+
+def test_records(spark):
+    from wireloom.plans.records import records
+
+    docs = spark.createDataFrame([(1, RSS.format("<title>T</title><item><title>a \"b\"</title><category>c</category><media:content url='u'/></item><item/>")), (2, "<html>"), (3, '{"items": []}')], "n int, content string")
+    p = parse_documents(docs)
+    got = {r.n: json.loads(r.record) for r in records(p.feeds, p.entries, ["n"]).collect()}
+    assert set(got) == {1, 3}
+    assert got[1]["feed"]["title"] == "T" and got[1]["feed"]["language"] is None and got[1]["feed"]["links"] == [] and "link" not in got[1]["feed"]
+    first, second = got[1]["entries"]
+    assert first == {"title": 'a "b"', "description": "", "links": [], "tags": [{"term": "c", "scheme": None, "label": None}], "media_content": [{"url": "u"}]}
+    assert second == {"title": "", "description": "", "links": []} and got[3]["entries"] == []

@@ -132,3 +132,14 @@ def test_columns(spark):
     df = spark.createDataFrame([("  <p>a&amp;b</p>\n c ", " 12 ", "{u}Na:me"), ("a &amp; b", "12.5", "P:Name"), (None, None, None)], "t string, n string, tag string")
     got = df.select(html_to_text(F.col("t")), lenient_int(F.col("n")), local_name(F.col("tag")), ustrip(F.col("n")), url_join(F.lit("http://a/b/c"), F.lit("../d"))).collect()
     assert [tuple(r)[:4] for r in got] == [("a&b c", 12, "na:me", "12"), ("a &amp; b", None, "name", "12.5"), (None, None, None, None)] and got[0][4] == "http://a/d"
+
+
+def test_addresses_and_documents(spark, server):
+    from wireloom.plans.api import parse_sources
+
+    rows = [(1, server + "/a"), (2, server + "/gone"), (3, "<rss><channel><title>inline</title><item/></channel></rss>"), (4, None)]
+    p = parse_sources(spark.createDataFrame(rows, "n int, where string"), "where")
+    got = {r.n: r for r in p.feeds.collect()}
+    assert (got[1].title, got[1]["where"], got[3].title, got[3]["where"]) == ("T", server + "/feed", "inline", None)
+    assert got[2].error.message.startswith("HTTPError") and got[4].error.message == "Empty content"
+    assert [r.n for r in p.entries.collect()] == [3]

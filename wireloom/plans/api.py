@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_http_url
 from ..operators.entries import Flags, with_authors, xml_entries
 from ..operators.feeds import xml_feeds
 from ..operators.jsonfeed import is_json_feed, json_entries, json_feeds, parse_json
 from ..operators.shred import shred
+from ..sources.fetch import HOPS, fetch, fetch_documents, follow_refreshes
 
 
 @dataclass(frozen=True)
@@ -21,10 +23,6 @@ class Feeds:
     entries: DataFrame
 
 
-class FeedError(ValueError):
-    """What a rejected document is reported with in FAILFAST mode."""
-
-
 def _sniffed(docs: DataFrame, keys: list[str], content: str) -> DataFrame:
     return docs.select(*keys, content).withColumn("json_text", F.when(is_json_feed(F.col(content).cast("string")), F.col(content).cast("string")))
 
@@ -59,6 +57,20 @@ def parse_documents(
     return Feeds(feeds, with_authors(entries))
 
 
-def is_url(source: Column) -> Column:
-    """Whether a source is an address rather than a document: as written, from its first character on."""
-    return F.coalesce(source.startswith("http://") | source.startswith("https://"), F.lit(False))
+def parse_sources(sources: DataFrame, source: str = "source", hops: int = HOPS, get=fetch, **options) -> Feeds:
+    """Feeds and entries of a string column that holds addresses or documents.
+
+    Addresses (http:// or https://, as written) are fetched where their rows are, and pages that send the reader on are
+    followed. An address that can't be read has a row in feeds whose error says why. Other columns are the keys; the address
+    that a document came from at last is in the column named like the source, null for documents.
+    """
+    rows = sources.withColumn("_address", is_http_url(F.col(source)))
+    names = [c for c in sources.columns if c != source]
+    given = rows.where(~F.col("_address")).select(*names, F.lit(None).cast("string").alias("source"), F.encode(F.coalesce(source, F.lit("")), "UTF-8").alias("content"))
+    fetched = fetch_documents(rows.where("_address").select(*names, F.col(source).alias("source")), get)
+    read = follow_refreshes(fetched.where("error is null").drop("error"), get, hops)
+    parsed = parse_documents(given.unionByName(read), "content", [*names, "source"], **options)
+    gone = fetched.where("error is not null").select(*names, "source", F.struct(F.lit("URLError").alias("class"), F.col("error").alias("message")).alias("error"))
+    feeds = parsed.feeds.unionByName(gone, allowMissingColumns=True) if options.get("mode", "PERMISSIVE") == "PERMISSIVE" else parsed.feeds
+    rename = lambda df: df.withColumnRenamed("source", source)
+    return Feeds(rename(feeds), rename(parsed.entries))
