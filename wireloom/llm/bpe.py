@@ -12,7 +12,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
-from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -156,61 +155,56 @@ def _codec(raw: str) -> Codec:
     return Codec(raw)
 
 
-def _valid(raw: bytes) -> bytes:
-    """raw as UTF-8, with the replacement character for what is not."""
-    try:
-        raw.decode()
-        return raw
-    except UnicodeDecodeError:
-        return raw.decode("utf-8", "replace").encode()
-
-
 class WordCache:
-    """What a worker process knows of words: ids, and what is derived from them. It outlives a task.
+    """What a worker process knows of words: their ids as text. It outlives a task.
 
-    Two generations: a full one becomes the old one, and words of the old one that are met again move back.
+    Two generations: a full one becomes the old one, and words of the old one that are met again move back. Every word's ids
+    are decoded when it is first met; `odd` has the words that they don't give back, with the bytes that they give.
     """
 
-    def __init__(self, codec: Codec, automaton: Transducer, keep_ids: bool) -> None:
-        self._codec, self._automaton, self._keep = codec, automaton, keep_ids
-        self._young: dict[str, tuple] = {}
-        self._old: dict[str, tuple] = {}
-        self.special = {i: [self._known([i])] for i in codec.specials.values()}
+    def __init__(self, codec: Codec, automaton: Transducer, words: int) -> None:
+        self._codec, self._automaton, self._words = codec, automaton, words
+        self._young: dict[str, str] = {}
+        self._old: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
 
-    def _known(self, ids: list[int]) -> tuple:
-        """Number of ids, the ids as text, the bytes that they give back, and with keep_ids the ids as 32-bit integers."""
-        out = len(ids), ",".join(map(str, ids)), b"".join(map(self._codec.bytes_of.__getitem__, ids))
-        return (*out, array("i", ids).tobytes()) if self._keep else out
+    def _ids(self, word: str, raw: bytes, known: list[int] | None) -> str:
+        ids = self._codec.merge(raw) if known is None else known
+        if (back := b"".join(map(self._codec.bytes_of.__getitem__, ids))) != raw:
+            self.odd[word] = back
+        return ",".join(map(str, ids))
 
-    def rows(self, words: list[str]) -> list[tuple]:
+    def ids(self, words: list[str]) -> list[str]:
         young = self._young
         out = list(map(young.get, words))
         if None not in out:
             return out
-        if len(young) > (MEMO_WITH_IDS if self._keep else MEMO_WORDS):
+        if len(young) > self._words:
             self._old, self._young = young, {}
             young = self._young
-        old, large, merge, lookup = self._old, {}, self._codec.merge, self._automaton.lookup
+        old, large, lookup = self._old, {}, self._automaton.lookup
         for i, got in enumerate(out):
             if got is not None:
                 continue
             word = words[i]
             if (got := young.get(word) or large.get(word)) is None:
-                raw = word.encode()
-                if len(raw) > LEXICON_BYTES:
-                    got = large[word] = self._known(merge(raw))
-                else:
-                    if (got := old.get(word)) is None:
-                        ids = lookup(raw)
-                        got = self._known(merge(raw) if ids is None else ids)
+                if (got := old.get(word)) is not None:
                     young[word] = got
+                elif len(raw := word.encode()) > LEXICON_BYTES:
+                    got = large[word] = self._ids(word, raw, None)
+                else:
+                    got = young[word] = self._ids(word, raw, lookup(raw))
             out[i] = got
         return out
 
+    def decoded(self, words: list[str]) -> bytes:
+        """The text that the ids of the words give back, as UTF-8, with the replacement character for what is none."""
+        return b"".join(self.odd.get(w) or w.encode() for w in words).decode("utf-8", "replace").encode()
+
 
 @lru_cache(1)
-def _cache(raw: str, lexicon: bytes, keep_ids: bool) -> WordCache:
-    return WordCache(_codec(raw), Transducer(lexicon), keep_ids)
+def _cache(raw: str, lexicon: bytes, words: int) -> WordCache:
+    return WordCache(_codec(raw), Transducer(lexicon), words)
 
 
 def word_counts(docs: DataFrame, raw: str) -> DataFrame:
@@ -254,7 +248,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
 
     One row per input row, no shuffle. A word's ids come from the mapped lexicon, else from exact merges; each worker
     remembers a bounded number of words. ids_sha256 is over the decimal ids joined by commas; decoded_sha256 is over the
-    text that the ids give back.
+    text that the ids give back: the ids of every distinct word are decoded and held against it.
 
     Null or empty text: no ids. Special strings in a text become their ids, as the library does by default. Very long
     texts and words are encoded whole. Null doc_id stays null, repeated rows repeat, an empty table gives an empty result,
@@ -265,19 +259,27 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
     shared = spark.sparkContext.broadcast((open(tokenizer_path, encoding="utf-8").read(), lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, cache = _codec(shared.value[0]), _cache(*shared.value, keep_ids)
-        size, digits, raw_bytes, id_list = map(itemgetter, range(4))
+        codec, cache = _codec(shared.value[0]), _cache(*shared.value, MEMO_WITH_IDS if keep_ids else MEMO_WORDS)
+        special = codec.special_split
         for batch in batches:
             counts, digests, decoded, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
-                rows: list[tuple] = []
-                for part, token in codec.segments(text or ""):
-                    rows += cache.rows(split_words(part)) if token is None else cache.special[token]
-                counts.append(sum(map(size, rows)))
-                digests.append(hashlib.sha256(",".join(map(digits, rows)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(_valid(b"".join(map(raw_bytes, rows)))).hexdigest())
+                text = text or ""
+                if special is None or not special.search(text):
+                    words = split_words(text)
+                    ids = cache.ids(words)
+                else:
+                    words, ids = [], []
+                    for part, token in codec.segments(text):
+                        words += (found := split_words(part) if token is None else [part])
+                        ids += cache.ids(found) if token is None else [str(token)]
+                joined = ",".join(ids)
+                counts.append(joined.count(",") + bool(ids))
+                digests.append(hashlib.sha256(joined.encode()).hexdigest())
+                back = text.encode() if cache.odd.keys().isdisjoint(words) else cache.decoded(words)
+                decoded.append(hashlib.sha256(back).hexdigest())
                 if keep_ids:
-                    kept.append(b"".join(map(id_list, rows)))
+                    kept.append(array("i", map(int, joined.split(",") if ids else ())).tobytes())
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if keep_ids:
                 flat = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(kept))])
