@@ -49,4 +49,6 @@ def test_edges_and_shards(spark, monkeypatch):
             members = media.shard_members(f.read())
         assert sha(media.decode_picture(members[f"{r.digest}.png"])) == r.digest
         assert len(members[f"{r.digest}.png"]) == r.length
+    heads = {r.digest: (r.width, r.height, r.bits) for r in media.header_columns(media.place_of(index), root).collect()}
+    assert heads == {r.digest: (64, r.payload_bytes // 64, 8) for r in media.payload_columns(media.place_of(index), root).collect()}
     assert media.write_media(docs.limit(0), root).count() == 0

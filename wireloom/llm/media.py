@@ -24,7 +24,7 @@ SHARD_BYTES = 256 << 20
 #: Places that a writing task remembers, to write a payload once.
 KNOWN_PAYLOADS = 1_000_000
 #: zlib level of the pictures.
-LEVEL = 1
+LEVEL = 6
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and first chunk: all that a header-only read asks for.
@@ -194,21 +194,22 @@ def header_columns(places: DataFrame, root: str) -> DataFrame:
 
 
 def payload_columns(places: DataFrame, root: str) -> DataFrame:
-    """places -> digest and what the stored bytes give when they are read back and decoded."""
+    """places -> digest, what the header says, and what the stored bytes give when they are read back and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = ShardReader(root)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                width, height, _ = read_header(reader.read(r["shard"], r["offset"], HEADER_BYTES))
                 media = reader.read(r["shard"], r["offset"], r["length"])
                 payload = decode_picture(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height))
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_pydict({"digest": batch.column("digest")} | {c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(names, kinds))})
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
     return _by_shard(places.select("digest", "shard", "offset", "length")).mapInArrow(run, schema)
 
 
@@ -228,6 +229,6 @@ def op7_media(spark, sf_dir: str) -> DataFrame:
     root = fresh_path(spark, "media-shards")
     index = write_media(table(spark, sf_dir, "documents"), root)
     places = materialize(place_of(index).coalesce(16), "media-places")
-    columns = payload_columns(places, root).join(header_columns(places, root), "digest")
+    columns = payload_columns(places, root)
     return index.select("doc_id", "n_bytes", "digest").join(columns, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
