@@ -60,6 +60,21 @@ def test_a_hot_vector_hides_nothing(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 500] == [0, 1, 2, 3, 4]
 
 
+def test_near_copies_hide_nothing(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=32)
+    base /= np.linalg.norm(base)
+    for noise in (0.02, 0.003):
+        others = rng.normal(size=(4000, 32))
+        copies = base + rng.normal(size=(2000, 32)) * noise / 32**0.5
+        vectors = {i: x.tolist() for i, x in enumerate(np.concatenate((others, copies)))}
+        df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+        got = nearest(df, F.col("vec_id") % 100 == 0, rerank=40, sample=1000).collect()
+        want = brute(vectors, [i for i in vectors if i % 100 == 0])
+        inside = {q: near for q, near in want.items() if q >= 4000}
+        assert recall(got, inside) == 1 and recall(got, want) >= 0.9
+
+
 def test_beam_beats_greedy_codes():
     x = np.random.default_rng(0).normal(size=(600, 12)).astype(np.float32)
     q = Quantiser.fit(x, 4, 16)

@@ -16,6 +16,9 @@ from .quantiser import Quantiser
 SAMPLE = 16_384
 #: Codebooks, and candidates of a query that are reranked by their exact cosine.
 BOOKS, RERANK = 24, 320
+#: A query whose last candidate's approximate score is within so many standard errors of its k-th exact one is searched
+#: exactly. The standard error of a score is that of a code over the root of the dimensions.
+STANDARD_ERRORS = 2.0
 #: Sides of a tile of the search: indexed vectors, and queries.
 CHUNK, BLOCK = 65_536, 2_048
 
@@ -54,16 +57,47 @@ def fit_quantiser(vectors: DataFrame, count: int, sample: int = SAMPLE) -> Quant
 
 
 def encode_vectors(classes: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """classes (digest, v, norm) -> digest, codes, length (of the approximation)."""
+    """classes (digest, v, norm) -> digest, codes, length (of the approximation), error (distance of the unit vectors)."""
     shared = classes.sparkSession.sparkContext.broadcast(quantiser.books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Quantiser(shared.value)
         for batch in batches:
-            codes, lengths = q.encode(_matrix(batch.column("v")) / batch.column("norm").to_numpy()[:, None])
-            yield pa.RecordBatch.from_pydict({"digest": batch.column("digest"), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "length": pa.array(lengths, pa.float32())})
+            units = _matrix(batch.column("v")) / batch.column("norm").to_numpy()[:, None]
+            codes, lengths = q.encode(units)
+            errors = np.linalg.norm(units - q.decode(codes) / np.where(lengths > 0, lengths, 1)[:, None], axis=1) if len(units) else lengths
+            yield pa.RecordBatch.from_pydict({"digest": batch.column("digest"), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "length": pa.array(lengths, pa.float32()), "error": pa.array(errors, pa.float32())})
 
-    return classes.select("digest", "v", "norm").mapInArrow(run, "digest string, codes binary, length float")
+    return classes.select("digest", "v", "norm").mapInArrow(run, "digest string, codes binary, length float, error float")
+
+
+def _exact_tiles(queries: DataFrame, classes: DataFrame, chunks: int, keep: int) -> DataFrame:
+    """queries (query_id, own, v, norm) -> query_id, own, digest: the best `keep` classes of each tile by the exact cosine.
+
+    The sums are taken in the order of the components, as the last scoring does; ties go to the smaller id.
+    """
+    blocks = max(1, -(-queries.count() // BLOCK))
+    left = queries.select("query_id", "own", "v", "norm", _tiles("block", F.col("query_id"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    right = classes.select("digest", F.col("ids")[0].alias("least"), "v", "norm", _tiles("chunk", F.col("digest"), chunks), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def tile(_, asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if len(asked) and len(held):
+            names, least, norms = held["digest"].to_pylist(), held["least"].to_numpy(), held["norm"].to_numpy()
+            columns = np.ascontiguousarray(_matrix(held["v"].combine_chunks()).T)
+            for v, norm, query_id, own in zip(_matrix(asked["v"].combine_chunks()), asked["norm"].to_pylist(), asked["query_id"].to_pylist(), asked["own"].to_pylist()):
+                dots = np.zeros(len(names))
+                for x, column in zip(v, columns):
+                    dots += x * column
+                scores = dots / (norm * norms)
+                # all that reach the last score that is kept, so that its ties are told by their ids
+                best = np.flatnonzero(scores >= -np.partition(-scores, keep - 1)[keep - 1]) if len(scores) > keep else np.arange(len(scores))
+                best = best[np.lexsort((least[best], -scores[best]))][:keep]
+                out += [(query_id, own, names[i]) for i in best]
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(zip(("query_id", "own", "digest"), kinds))})
+
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(tile, "query_id long, own string, digest string")
 
 
 def _tiles(name: str, key: Column, n: int) -> Column:
@@ -76,7 +110,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK,
     Equal vectors are one class with its k + 1 smallest ids; nothing else of a class can be among the k nearest, as ties go
     to the smaller id. All classes are encoded. The queries meet them tile by tile: a tile holds a bounded number of codes
     and of queries and gives the best `rerank` classes by lookup tables; the best of all tiles are scored by the exact cosine
-    in double precision. With k or fewer candidates all are returned.
+    in double precision. Where the last of them comes so near to the k-th exact score that the quantisation's errors may
+    have kept out a nearer one (groups of near copies larger than `rerank`), the query meets all classes again, by their
+    exact cosines. With k or fewer candidates all are returned.
 
     Which vectors take part: see usable(). Rows that repeat a vec_id with the same vector count once; with other vectors
     they are candidates of their own, and queries of one id (each neighbour once, at its best score). Ties in score go to the
@@ -100,7 +136,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK,
 
     chunks, blocks = -(-count // CHUNK), max(1, -(-queries.count() // BLOCK))
     left = queries.select("query_id", "v", "norm", "digest", _tiles("block", F.col("query_id"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
-    right = index.select("digest", "codes", "length", _tiles("chunk", F.col("digest"), chunks), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = index.select("digest", "codes", "length", "error", _tiles("chunk", F.col("digest"), chunks), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     shared = spark.sparkContext.broadcast(quantiser.books)
 
     def tile(_, asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -109,25 +145,37 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK,
         order = np.argsort(names)
         names = names[order]
         codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(len(names), -1)[order]
-        lengths = held["length"].to_numpy()[order]
+        lengths, errors = held["length"].to_numpy()[order], held["error"].to_numpy()[order]
         units = _matrix(asked["v"].combine_chunks()) / asked["norm"].to_numpy()[:, None] if len(asked) else []
         for unit, query_id, own in zip(units, asked["query_id"].to_pylist(), asked["digest"].to_pylist()):
             if len(names):
                 scores = q.scores(unit, codes, lengths)
                 best = np.argsort(-scores, kind="stable")[:rerank] if len(scores) <= rerank else np.argpartition(-scores, rerank)[:rerank]
-                out += [(query_id, own, names[i], float(scores[i])) for i in best]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
-        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(zip(("query_id", "own", "digest", "about"), kinds))})
+                out += [(query_id, own, names[i], float(scores[i]), float(errors[i])) for i in best]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(zip(("query_id", "own", "digest", "about", "error"), kinds))})
 
-    rough = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(tile, "query_id long, own string, digest string, about double")
+    rough = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(tile, "query_id long, own string, digest string, about double, error double")
     best = Window.partitionBy("query_id", "own").orderBy(F.desc("about"), "digest")
-    rough = rough.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "own", "digest")
-    # the query's own class may hold other rows; it is always a candidate
-    rough = rough.union(queries.select("query_id", "digest", "digest")).distinct()
+    rough = materialize(rough.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "own", "digest", "about", "error"), "nearest-rough")
     asked = queries.select("query_id", F.col("digest").alias("own"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    exact = rough.join(classes, "digest").join(asked, ["query_id", "own"]).select("query_id", F.explode("ids").alias("vec_id"), (dot / (F.col("qn") * F.col("norm"))).alias("score"))
-    exact = exact.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        exact = pairs.join(classes, "digest").join(asked, ["query_id", "own"]).select("query_id", F.explode("ids").alias("vec_id"), (dot / (F.col("qn") * F.col("norm"))).alias("score"))
+        return exact.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    # the query's own class may hold other rows; it is always a candidate
+    exact = materialize(score(rough.select("query_id", "own", "digest").union(queries.select("query_id", "digest", "digest")).distinct()), "nearest-exact")
+    spaces = F.sqrt(F.size("v"))
+    last = rough.groupBy("query_id", "own").agg(F.min("about").alias("last"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("error"), F.count("*").alias("n")).where(F.col("n") >= rerank)
+    kth = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    open_ = queries.withColumnRenamed("digest", "own").join(last, ["query_id", "own"]).join(kth, "query_id", "left")
+    open_ = open_.where(F.col("kth").isNull() | (F.col("last") + STANDARD_ERRORS * F.col("error") / spaces >= F.col("kth")))
+    open_ = materialize(open_.select("query_id", "own", "v", "norm"), "nearest-open")
+    if not open_.isEmpty():
+        again = score(_exact_tiles(open_, classes, chunks, max(rerank, k + 1)))
+        exact = exact.unionByName(again).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
