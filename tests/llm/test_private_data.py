@@ -1,9 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
 from reference_spans import joined, private, sha
 
 from wireloom.llm.common import table
-from wireloom.llm.private_data import KINDS, find_private, op1_private
+from wireloom.llm.private_data import KINDS, base_spans, candidate_spans, find_private, op1_private
 
 
 def base(r):
@@ -47,3 +48,23 @@ def test_contexts_lead_to_unseen_identifiers(spark):
     docs = spark.createDataFrame(list(enumerate(seeds + unseen + clean)), "doc_id long, text string")
     got = {r.doc_id: [KINDS[s.kind] for s in r.added] for r in find_private(docs).collect()}
     assert {i for i, kinds in got.items() if kinds} == {40, 41, 42} and got[40] == ["phone"]
+
+
+def test_contexts_lead_to_whole_spaced_and_digit_free_identifiers(spark):
+    rng = random.Random(6)
+    last = lambda: rng.randint(1000, 9999)
+    seeds = [f"reach them under phone number +1 (212) 555-{last()} on weekdays" for _ in range(120)]
+    seeds += [f"please write to mailbox u{last()}@example{last()}.com soon" for _ in range(40)] + [f"seen from host 10.{last() % 250}.{last() % 250}.{last() % 250} today" for _ in range(40)]
+    unseen = [("phone number", x, "phone") for x in ("555 123 4567", "(030) 123 45 67", "(030)123 45 67", "0171 2345678", "030/123-4567", "0301234567")]
+    unseen += [("to mailbox", x, "email") for x in ("jane.doe@localhost", "jane(at)example.com", "jane at example dot com", "jane [at] example.com")]
+    unseen += [("from host", x, "ip") for x in ("fe80::1", "2001:db8:0:0:8:800:200c:417a", "::1", "10-20-30-40-50")]
+    texts = seeds + [f"again: {context} {x} at night 12 times" for context, x, _ in unseen]
+    clean = [f"the order number {last()} {last()} was sent" for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r.doc_id: [((texts + clean)[r.doc_id][s.start : s.end], KINDS[s.kind]) for s in r.added] for r in find_private(docs).collect()}
+    assert {i: x for i, x in got.items() if x} == {len(seeds) + i: [(x, kind)] for i, (_, x, kind) in enumerate(unseen)}
+
+
+def test_a_lettered_number_is_one_candidate(spark):
+    row = spark.createDataFrame([("account DE89 3704 0044 0532 0130 00 with bank",)], "t string").select(candidate_spans(F.col("t"), base_spans(F.col("t"))).alias("c")).first()
+    assert [s.hit for s in row.c] == ["DE89 3704 0044 0532 0130 00"]

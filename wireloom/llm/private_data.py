@@ -16,8 +16,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What may be an identifier of another shape: a run of such characters with six digits or more.
-CANDIDATE = r"(?<![A-Za-z0-9@._%+()-])(?=(?:[A-Za-z@._%+()-]*+[0-9]){6})[A-Za-z0-9@._%+()-]++"
+#: What may be an identifier of another shape, each as a whole: words around an @ or an "at"; colon groups; groups of letters
+#: and digits after a country's two letters; four or more dotted groups; digit groups joined by single separators, six digits
+#: or more; and else a run of such characters with six digits or more. A number that is long by itself takes no further groups.
+AT = r"(?=[0-9._%+-]*+[A-Za-z])[A-Za-z0-9._%+-]++(?:(?:@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|\x20at\x20(?=[A-Za-z])[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)++)"
+COLONS = r"(?<!:)(?=[0-9A-Fa-f]*+(?::[0-9A-Fa-f]*+){2})[0-9A-Fa-f]{0,4}+(?::{1,2}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z]))++"
+LETTERED = r"[A-Z]{2}[0-9]{2}(?:\x20(?=[A-Z]{0,3}[0-9])[A-Z0-9]{1,4}(?![A-Za-z0-9]))++"
+DOTTED = r"[0-9]{1,5}(?:\.[0-9]{1,5}){3,}+(?![0-9A-Za-z@_%])"
+GROUPS = r"(?=(?:[\x20()./+-]{0,3}[0-9]){6})\+?(?:\([0-9]{1,5}\)|[0-9]{1,5}(?![0-9A-Za-z@_%]))(?:(?:[\x20./-]|(?<=\)))(?:\([0-9]{1,8}\)|[0-9]{1,8}(?![0-9A-Za-z@_%])))++"
+RUN = r"(?=(?:[A-Za-z@._%+()-]*+[0-9]){6})[A-Za-z0-9@._%+()-]++"
+CANDIDATE = r"(?<![A-Za-z0-9@._%+()-])(?:" + "|".join((AT, COLONS, LETTERED, DOTTED, GROUPS, RUN)) + ")"
 
 #: Rounds of scoring; distinct known instances that a pattern needs, and the share of its instances that must be known.
 ROUNDS, SUPPORT, PRECISION = 3, 4, 0.8
@@ -47,8 +55,8 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
-    """Runs that may be identifiers and do not touch a base span; kind is -1."""
-    runs = spans_of(text, -1, CANDIDATE, F.regexp_like(text, F.lit("[0-9]")))
+    """Token sequences that may be identifiers and do not touch a base span; kind is -1."""
+    runs = spans_of(text, -1, CANDIDATE, F.regexp_like(text, F.lit("[0-9@:]|[aA][tT]")))
     trimmed = F.transform(runs, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), (s["start"] + F.length(F.regexp_replace(s["hit"], r"[@._%+(-]+$", ""))).alias("end"),
         F.regexp_replace(s["hit"], r"[@._%+(-]+$", "").alias("hit"), s["before"].alias("before")))
