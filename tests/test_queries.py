@@ -37,3 +37,24 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(r.entries > 0 for r in rows)
+
+
+def test_rdf_entries_takes_all_nations(spark, tmp_path):
+    nations = [(i, f"n{i}") for i in range(1500)]
+    spark.createDataFrame(nations, "n_nationkey long, n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(i, f"s{i}", i) for i in range(1500)], "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.s_suppkey: r.author for r in entry.queries()["rdf_entries"](spark, str(tmp_path)).collect()}
+    assert got == dict(nations)
+
+
+def test_sniff_reject_reads_whole_pages(spark, tmp_path, monkeypatch):
+    from wireloom import queries as feeds
+
+    seen = []
+    parse = feeds.parse_documents
+    monkeypatch.setattr(feeds, "parse_documents", lambda docs: seen.append(docs) or parse(docs))
+    html = "<html><body>page " + "x" * 3000
+    spark.createDataFrame([(i, html) for i in range(3)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    entry.queries()["sniff_reject"](spark, str(tmp_path))
+    content = {r.page_id: r.content for r in seen[0].collect()}
+    assert content[0] == html and content[2].endswith(html)

@@ -160,7 +160,7 @@ def atom03_dates(spark, sf_dir):
   n_name || '|' || 'http://t.example/' || s_nationkey AS terms FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def rdf_entries(spark, sf_dir):
     """RDF items: about, dates that are missing or can't be read, subjects and topics."""
-    rows = _table(spark, sf_dir, "supplier").join(F.broadcast(_table(spark, sf_dir, "nation").limit(1000)), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     k = F.col("s_suppkey") % 3
     dates = F.when(k == 0, F.lit("<dc:date>2024-05-06T07:08:09Z</dc:date>")).when(k == 1, F.lit("<dc:date>soon</dc:date><dcterms:modified>2024-06-07</dcterms:modified>")).otherwise(F.lit("<dcterms:modified>2024-06-07</dcterms:modified>"))
     item = F.concat(_cat('<item rdf:about="https://example.org/s/', F.col("s_suppkey"), '">'), _el("title", _x("s_name")), _el("link", "https://example.org/s/", F.col("s_suppkey"), "/home"),
@@ -293,7 +293,7 @@ def feed_meta(spark, sf_dir):
 def sniff_reject(spark, sf_dir):
     """Pages are no feeds, nor is nothing."""
     k = F.col("page_id")
-    docs = _table(spark, sf_dir, "pages").select("page_id", F.when(k % 3 == 1, F.lit("")).when(k % 3 == 2, F.concat(F.lit("hello <script> <body>"), F.left("html", F.lit(0)))).otherwise(F.col("html")).alias("content"))
+    docs = _table(spark, sf_dir, "pages").select("page_id", F.when(k % 3 == 1, F.lit("")).when(k % 3 == 2, F.concat(F.lit("hello <script> <body>"), F.col("html"))).otherwise(F.col("html")).alias("content"))
     return parse_documents(docs).feeds.select("page_id", F.col("error.message").alias("message"))
 
 
