@@ -58,3 +58,16 @@ def test_redaction(spark):
     out = {r.doc_id: r for r in redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()}
     assert out[1].text == 'é [SECRET]" end' and out[1].n_chars == len(out[1].text)
     assert (out[2].text, out[3].text, out[3].source) == (None, "clean", None)
+
+
+def test_redaction_is_by_row(spark):
+    rows = [(None, "secret=zyxwvutsrqponml", 1), (None, "clean words", 2), (None, "password: 'abcdefghijkl' é", 3), (7, "token=abcdefghijklmnop end", 4), (7, "clean words stay whole", 5), (7, "clean words stay whole", 5), (8, "", 0), (8, None, None)]
+    out = redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, found long")).collect()
+    want = [(None, "[SECRET]", 1), (None, "clean words", 2), (None, "[SECRET]' é", 3), (7, "[SECRET] end", 4), (7, "clean words stay whole", 5), (7, "clean words stay whole", 5), (8, "", 0), (8, None, None)]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "é ".join(f"token={i:016d}" for i in range(20_000))
+    out = redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert out[0].text == "é ".join(["[SECRET]"] * 20_000)

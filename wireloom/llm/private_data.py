@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .spans import count_kind, digest_text, spans_of
+from .spans import count_kind, digest_text, let, spans_of, touched
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -47,41 +47,50 @@ def _luhn(digits: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The spans of the fixed shapes in a text that is not null. The patterns never look at a character more than a few times."""
-    email = spans_of(text, 0, EMAIL, text.contains("@"))
-    ip = F.filter(spans_of(text, 1, IP, F.regexp_like(text, F.lit(r"[0-9]\.[0-9]"))), lambda s: F.regexp_like(s["hit"], F.lit(IP_VALID)))
-    card = F.filter(spans_of(text, 2, CARD, F.regexp_like(text, F.lit("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"))), lambda s: (F.length(_digits(s["hit"])) <= 19) & F.when(F.length(_digits(s["hit"])) <= 19, _luhn(_digits(s["hit"]))).otherwise(False))
-    phone = F.filter(spans_of(text, 3, PHONE, text.contains("+")), lambda s: F.length(_digits(s["hit"])).between(10, 15))
+    email = spans_of(text, 0, EMAIL, text.contains("@"), context=True)
+    ip = F.filter(spans_of(text, 1, IP, F.regexp_like(text, F.lit(r"[0-9]\.[0-9]")), context=True), lambda s: F.regexp_like(s["hit"], F.lit(IP_VALID)))
+    numbers = spans_of(text, 2, CARD, F.regexp_like(text, F.lit("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")), context=True)
+    card = F.filter(numbers, lambda s: (F.length(_digits(s["hit"])) <= 19) & F.when(F.length(_digits(s["hit"])) <= 19, _luhn(_digits(s["hit"]))).otherwise(False))
+    phone = F.filter(spans_of(text, 3, PHONE, text.contains("+"), context=True), lambda s: F.length(_digits(s["hit"])).between(10, 15))
     return F.concat(email, ip, card, phone)
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
     """Token sequences that may be identifiers and do not touch a base span; kind is -1."""
-    runs = spans_of(text, -1, CANDIDATE, F.regexp_like(text, F.lit("[0-9@:]|[aA][tT]")))
-    trimmed = F.transform(runs, lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), (s["start"] + F.length(F.regexp_replace(s["hit"], r"[@._%+(-]+$", ""))).alias("end"),
-        F.regexp_replace(s["hit"], r"[@._%+(-]+$", "").alias("hit"), s["before"].alias("before")))
-    return F.filter(trimmed, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    runs = spans_of(text, -1, CANDIDATE, F.regexp_like(text, F.lit("[0-9@:]|[aA][tT]")), context=True)
 
+    def trimmed(s: Column) -> Column:
+        hit = F.regexp_replace(s["hit"], r"[@._%+(-]+$", "")
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (s["start"] + F.length(hit)).alias("end"), hit.alias("hit"), s["before"].alias("before"), s["after"].alias("after"))
 
-def _patterns(before: Column) -> Column:
-    """The lexical patterns of a context: its last word, and its last two, in lower case."""
-    low = F.lower(before)
-    one, two = F.regexp_extract(low, r"(\S+)\s*$", 1), F.regexp_extract(low, r"(\S+\s+\S+)\s*$", 1)
-    return F.filter(F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two)), lambda p: F.length(p) > 2)
+    free = F.filter(touched(F.transform(runs, trimmed), base), lambda t: ~t["hit"])
+    return F.transform(free, lambda t: t["span"])
+
+
+def _patterns(span: Column) -> Column:
+    """The lexical patterns around a span, in lower case: the word before it, the two words before it, the word after it, and
+    the words on both sides."""
+
+    def of(x: Column) -> Column:
+        one, two, after = F.element_at(F.split(x["before"], " "), -1), x["before"], x["after"]
+        both = F.when((one != "") & (after != ""), F.concat(F.lit("3 "), one, F.lit(" _ "), after)).otherwise("")
+        return F.filter(F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two), both, F.concat(F.lit("> "), after)), lambda p: F.length(p) > 2)
+
+    return let(F.struct(F.lower(F.regexp_replace(span["before"], r"\s+", " ")).alias("before"), F.lower(span["after"]).alias("after")), of)
 
 
 def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, precision: float = PRECISION, accept: float = ACCEPT) -> DataFrame:
     """found (base, candidates) -> instance, kind of the unseen identifiers.
 
-    The graph has an edge from each pattern to each instance (lower-cased text) that stands after it. A round scores every
+    The graph has an edge from each pattern to each instance (lower-cased text) that stands beside it. A round scores every
     pattern and kind by the confidence of its known instances over the number of all its instances, keeps those with enough
     support and precision, and gives every unknown instance the noisy-or of its patterns' scores. Edges are distinct and
     counts are taken before they move, so a frequent pattern or instance is a few rows for each task.
     """
     hit = lambda s: F.lower(F.col(s)["hit"])
-    seeds = found.select(F.explode("base").alias("s")).select(hit("s").alias("instance"), F.col("s.kind").alias("kind"), _patterns(F.col("s.before")).alias("patterns"))
-    others = found.select(F.explode("candidates").alias("s")).select(hit("s").alias("instance"), F.col("s.kind").alias("kind"), _patterns(F.col("s.before")).alias("patterns"))
-    graph = materialize(seeds.unionByName(others).select("instance", "kind", F.explode("patterns").alias("pattern")).distinct().coalesce(16), "private-graph")
+    seeds = found.select(F.explode("base").alias("s")).select(hit("s").alias("instance"), F.col("s.kind").alias("kind"), _patterns(F.col("s")).alias("patterns"))
+    others = found.select(F.explode("candidates").alias("s")).select(hit("s").alias("instance"), F.col("s.kind").alias("kind"), _patterns(F.col("s")).alias("patterns"))
+    graph = materialize(seeds.unionByName(others).select("instance", "kind", F.explode("patterns").alias("pattern")).distinct(), "private-graph")
     edges = graph.select("pattern", "instance").distinct()
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     seeded = graph.where("kind >= 0").select("instance", "kind").distinct()
@@ -95,7 +104,7 @@ def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, precis
         votes = edges.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("confidence"))
         votes = votes.join(seed_names, "instance", "left_anti").where(F.col("confidence") >= accept)
         best = votes.groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("b"))
-        learnt = materialize(best.select("instance", (-F.col("b.k")).alias("kind"), F.col("b.confidence").alias("confidence")).coalesce(4), "private-learnt")
+        learnt = materialize(best.select("instance", (-F.col("b.k")).alias("kind"), F.col("b.confidence").alias("confidence")), "private-learnt")
         known = seeded.withColumn("confidence", F.lit(1.0)).unionByName(learnt)
     return learnt.select("instance", "kind")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, spread, table
-from .spans import count_kind, digest_text, spans_of
+from .spans import blanked, count_kind, digest_text, spans_of
 
 #: Kinds in their order.
 KINDS = ("assign", "access", "hex")
@@ -49,8 +49,8 @@ class Ledger:
         # a batch that was appended twice (a job that was started again) counts once
         return rows.groupBy("digest").agg(F.first("found").alias("found"))
 
-    def scan(self, versions: DataFrame, rules_version: int = RULES_VERSION) -> int:
-        """Scans the contents in versions (path, text) that have no row under this rule version; gives the batch's write.
+    def scan(self, versions: DataFrame, rules_version: int = RULES_VERSION) -> None:
+        """Scans the contents in versions (path, text) that have no row under this rule version, and appends their rows.
 
         The text of a content moves once, to where its digest was found at the smallest path: the other copies of it are
         dropped by a join with one row per new digest, in which the copies of a hot content were already counted together.
@@ -87,26 +87,25 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules_version:
     return ledger.findings(versions, rules_version).withColumnRenamed("path", "doc_id")
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
     """docs with each secret in text replaced by a mark, overlapping ones by one mark; all columns stay, n_chars follows.
 
-    Texts without a secret stay as they are, null stays null. doc_id must tell the rows apart; a row with null doc_id keeps
-    its text only if no row with null doc_id holds a secret, else each such row is scanned where it stands.
+    Findings belong to a content, so each row is redacted by its own text, whatever its doc_id: null and repeated ids, and
+    unlike texts under one id, make no difference, and doc_id need not exist. Texts without a secret stay as they are, with
+    their n_chars; null stays null, empty stays empty, repeated rows repeat. Very long texts are redacted whole. Empty table:
+    empty result. Columns of any other name go through untouched.
     """
-    found = scan_secrets(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_secret_id"), F.col("found").alias("_secret_found")).dropDuplicates(["_secret_id"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_secret_id"]), "left")
-    at = F.array_sort(F.transform("_secret_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substr(docs["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate(at, zero, cut, lambda acc: F.concat(acc["out"], F.substr(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
-    text = F.when(F.col("_secret_found").isNull(), docs["text"]).otherwise(clean)
-    kept = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    out = joined.select(*kept)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    ledger = Ledger(ledger_path or fresh_path(docs.sparkSession, "secret-ledger"))
+    ledger.scan(docs.select(F.lit(None).cast("long").alias("path") if "doc_id" not in docs.columns else F.col("doc_id").alias("path"), "text"))
+    dirty = ledger.scanned(docs.sparkSession, RULES_VERSION).where(F.size("found") > 0).select(F.col("digest").alias("_secret_digest"), F.col("found").alias("_secret_found"))
+    dirty = spread(dirty, "_secret_digest")
+    joined = docs.join(dirty, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == dirty["_secret_digest"], "left")
+    hit = dirty["_secret_found"].isNotNull()
+    text = F.when(hit, blanked(docs["text"], dirty["_secret_found"], mark)).otherwise(docs["text"])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length(text)).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
