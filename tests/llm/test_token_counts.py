@@ -28,3 +28,15 @@ def test_edges(spark):
     got = count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), MODEL).collect()
     assert [(r.doc_id, r.n_tokens) for r in got] == [(i, len(sp.encode(t or ""))) for i, t, _ in rows]
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_every_pre_token_is_counted_once_and_joined(spark, monkeypatch):
+    from wireloom.llm import token_counts as tc
+
+    texts = ["the cat  sat", "the the the dog", "a\nb the cat", "x" * 100, None]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    tokens = tc.piece_counts(tc.token_frequencies(docs), MODEL).collect()
+    assert sorted(r.token for r in tokens) == sorted({x for t in texts for x in pre_tokens(t or "")})
+    for broadcast in (0, 64 * 1, 131_072):
+        monkeypatch.setattr(tc, "BROADCAST_TOKENS", broadcast)
+        assert sorted(r.n_tokens for r in count_tokens(docs, MODEL).collect()) == sorted(len(sp.encode(t or "")) for t in texts)

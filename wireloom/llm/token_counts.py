@@ -1,4 +1,4 @@
-"""Token counts: pieces are counted once per distinct pre-token and summed over each document's pre-token frequencies."""
+"""Token counts: pieces are counted once per distinct pre-token of the corpus, joined to each document's frequencies, and summed."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, materialize, spread, table
 
 #: Longest sequence a document may have before over_limit.
 TOKEN_LIMIT = 4096
-#: Bounds of a task's lexicon: entries, and characters of a pre-token that is kept.
-LEXICON_ENTRIES, LEXICON_CHARS = 400_000, 64
+#: Pre-tokens that are joined by broadcast, the most frequent ones, and their longest; all others are joined by a shuffle.
+BROADCAST_TOKENS, BROADCAST_CHARS = 131_072, 48
+#: The broadcast part is the union of the most frequent pre-tokens of so many hash buckets, so that no task sorts them all.
+BUCKETS = 64
+#: Distinct pre-tokens that a task counts before it hands its counts on.
+COUNT_TOKENS = 500_000
 
 _CHUNK = re.compile(" +[^ ]*")
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+FREQUENCIES = "doc_id long, n_bytes long, known long, others array<struct<token:string,n:long>>"
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -35,46 +40,94 @@ def pre_tokens(text: str) -> list[str]:
     return _CHUNK.findall(" " + text)
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit; one row per input row, no shuffle.
+def token_frequencies(docs: DataFrame) -> DataFrame:
+    """docs (text) -> token, n: the distinct pre-tokens of all texts, counted in each task, then summed."""
 
-    A task keeps a lexicon of the distinct pre-tokens that it met with their piece counts (bounded: it starts anew when
-    full), counts each batch's new pre-tokens once, and joins the lexicon to each document's frequencies. Ids are not kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"token": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(pre_tokens(text or ""))
+            if len(counts) > COUNT_TOKENS:
+                yield out()
+                counts.clear()
+        yield out()
 
-    Null or empty text: 0 bytes, 0 tokens. Very long texts and words are counted whole. Null doc_id stays null. Repeated rows
-    give repeated rows. Empty table: empty result. Other columns are not looked at. model_path must exist on every executor.
-    """
     arrow_rows(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def piece_counts(tokens: DataFrame, model_path: str) -> DataFrame:
+    """tokens (token, n) -> also pieces: how many pieces the model cuts each into. Each is cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         # the library gives an empty text no pieces, so a lone space is counted after a word
-        lone = {" ": len(model.encode("x ")) - len(model.encode("x"))}
-        lexicon: dict[str, int] = dict(lone)
+        lone = len(model.encode("x ")) - len(model.encode("x"))
+        for batch in batches:
+            words = batch.column("token").to_pylist()
+            sizes = [lone if w == " " else len(p) for w, p in zip(words, model.encode([w[1:] for w in words], num_threads=1))]
+            yield pa.RecordBatch.from_pydict({"token": batch.column("token"), "n": batch.column("n"), "pieces": pa.array(sizes, pa.int64())})
+
+    return tokens.mapInArrow(run, "token string, n long, pieces long")
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit; one row per input row. Ids are not kept.
+
+    1. The distinct pre-tokens of all texts with their frequencies; the pieces of each are counted once.
+    2. Each document's pre-token frequencies are joined to these counts. The most frequent pre-tokens, a bounded number, are
+       broadcast, so they never leave the document's task. What a document has beside them is joined by a shuffle: rare
+       pre-tokens and long ones, one row for each document and pre-token.
+    3. Counts times frequencies are summed by document.
+
+    Null or empty text: 0 bytes, 0 tokens. Very long texts and words are counted whole. Null doc_id stays null. Repeated rows
+    give repeated rows. Empty table: empty result. Other columns are not looked at. model_path must exist on every executor.
+    """
+    spark = docs.sparkSession
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    lexicon = materialize(piece_counts(token_frequencies(docs), model_path), "token-lexicon")
+    first = Window.partitionBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS))).orderBy(F.desc("n"), "token")
+    short = lexicon.where(F.length("token") <= BROADCAST_CHARS).withColumn("place", F.row_number().over(first))
+    frequent = {r.token: r.pieces for r in short.where(F.col("place") <= BROADCAST_TOKENS // BUCKETS).select("token", "pieces").collect()}
+    shared = spark.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            totals = [0] * len(texts)
-            for i, text in enumerate(texts):
-                freq = Counter(pre_tokens(text))
-                new = [x for x in freq if x not in lexicon]
-                if new:
-                    if len(lexicon) + len(new) > LEXICON_ENTRIES:
-                        lexicon, new = dict(lone), [x for x in freq if x != " "]
-                    sizes = dict(zip(new, map(len, model.encode([x[1:] for x in new], num_threads=1))))
-                    lexicon.update((x, n) for x, n in sizes.items() if len(x) <= LEXICON_CHARS)
-                    totals[i] = sum(n * (lexicon[x] if x in lexicon else sizes[x]) for x, n in freq.items())
-                else:
-                    totals[i] = sum(n * lexicon[x] for x, n in freq.items())
+            sums, places, tokens, counts = [], [0], [], []
+            for text in texts:
+                total = 0
+                for token, n in Counter(pre_tokens(text)).items():
+                    if (pieces := known.get(token)) is not None:
+                        total += n * pieces
+                    else:
+                        tokens.append(token)
+                        counts.append(n)
+                sums.append(total)
+                places.append(len(tokens))
+            others = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["token", "n"])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "n_bytes": pa.array([len(x.encode()) for x in texts], pa.int64()),
-                "n_tokens": pa.array(totals, pa.int64()),
-                "over_limit": pa.array([n > limit for n in totals], pa.bool_()),
+                "doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(x.encode()) for x in texts], pa.int64()),
+                "known": pa.array(sums, pa.int64()), "others": pa.ListArray.from_arrays(pa.array(places, pa.int32()), others),
             })
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    arrow_rows(spark)
+    # the number of a row is written with it, so that it stays the same for all readers
+    rows = materialize(docs.mapInArrow(run, FREQUENCIES).withColumn("row", F.monotonically_increasing_id()), "token-frequencies")
+    rest = rows.select("row", F.explode("others").alias("o")).select("row", "o.token", "o.n")
+    counted = spread(lexicon.select("token", "pieces"), "token")
+    rest = rest.join(counted, "token").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0))
+    # merged by the row number, which also keeps the order of rows in a partition
+    return rows.drop("others").join(rest.hint("merge"), "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
