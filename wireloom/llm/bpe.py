@@ -9,7 +9,7 @@ import re
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -91,6 +91,7 @@ class Codec:
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(map(back.__getitem__, t)) for t, i in vocab.items()} | {i: t.encode() for t, i in self.specials.items()}
+        self.written = {str(i): raw for i, raw in self.bytes_of.items()}
         self.base = [vocab[c] for c in letters]
         #: pair -> rank, and the id that a merge of that rank makes
         self.ranks: dict[tuple[int, int], int] = {}
@@ -110,6 +111,11 @@ class Codec:
             at = m.end()
         yield text[at:], None
 
+    def decode(self, ids: Iterable[str]) -> bytes:
+        """The text of ids in decimal, as UTF-8, with the replacement character for bytes that are none."""
+        raw = b"".join(map(self.written.__getitem__, ids))
+        return raw.decode("utf-8", "replace").encode()
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank, leftmost first, until none is left."""
         ids = [self.base[b] for b in word]
@@ -158,21 +164,16 @@ def _codec(raw: str) -> Codec:
 class WordCache:
     """What a worker process knows of words: their ids as text. It outlives a task.
 
-    Two generations: a full one becomes the old one, and words of the old one that are met again move back. Every word's ids
-    are decoded when it is first met; `odd` has the words that they don't give back, with the bytes that they give.
+    Two generations: a full one becomes the old one, and words of the old one that are met again move back.
     """
 
     def __init__(self, codec: Codec, automaton: Transducer, words: int) -> None:
         self._codec, self._automaton, self._words = codec, automaton, words
         self._young: dict[str, str] = {}
         self._old: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}
 
-    def _ids(self, word: str, raw: bytes, known: list[int] | None) -> str:
-        ids = self._codec.merge(raw) if known is None else known
-        if (back := b"".join(map(self._codec.bytes_of.__getitem__, ids))) != raw:
-            self.odd[word] = back
-        return ",".join(map(str, ids))
+    def _ids(self, raw: bytes, known: list[int] | None) -> str:
+        return ",".join(map(str, self._codec.merge(raw) if known is None else known))
 
     def ids(self, words: list[str]) -> list[str]:
         young = self._young
@@ -191,16 +192,12 @@ class WordCache:
                 if (got := old.get(word)) is not None:
                     young[word] = got
                 elif len(raw := word.encode()) > LEXICON_BYTES:
-                    got = large[word] = self._ids(word, raw, None)
+                    got = large[word] = self._ids(raw, None)
                 else:
-                    got = young[word] = self._ids(word, raw, lookup(raw))
+                    got = young[word] = self._ids(raw, lookup(raw))
             out[i] = got
         return out
 
-    def decoded(self, words: list[str]) -> bytes:
-        """The text that the ids of the words give back, as UTF-8, with the replacement character for what is none."""
-        return b"".join(self.odd.get(w) or w.encode() for w in words).decode("utf-8", "replace").encode()
-
 
 @lru_cache(1)
 def _cache(raw: str, lexicon: bytes, words: int) -> WordCache:
@@ -248,7 +245,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
 
     One row per input row, no shuffle. A word's ids come from the mapped lexicon, else from exact merges; each worker
     remembers a bounded number of words. ids_sha256 is over the decimal ids joined by commas; decoded_sha256 is over the
-    text that the ids give back: the ids of every distinct word are decoded and held against it.
+    text that each document's ids are decoded to.
 
     Null or empty text: no ids. Special strings in a text become their ids, as the library does by default. Very long
     texts and words are encoded whole. Null doc_id stays null, repeated rows repeat, an empty table gives an empty result,
@@ -266,20 +263,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon: bytes, keep_
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 if special is None or not special.search(text):
-                    words = split_words(text)
-                    ids = cache.ids(words)
+                    found = cache.ids(split_words(text))
                 else:
-                    words, ids = [], []
+                    found = []
                     for part, token in codec.segments(text):
-                        words += (found := split_words(part) if token is None else [part])
-                        ids += cache.ids(found) if token is None else [str(token)]
-                joined = ",".join(ids)
-                counts.append(joined.count(",") + bool(ids))
+                        found += cache.ids(split_words(part)) if token is None else [str(token)]
+                joined = ",".join(found)
+                ids = joined.split(",") if joined else []
+                counts.append(len(ids))
                 digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                back = text.encode() if cache.odd.keys().isdisjoint(words) else cache.decoded(words)
-                decoded.append(hashlib.sha256(back).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(array("i", map(int, joined.split(",") if ids else ())).tobytes())
+                    kept.append(array("i", map(int, ids)).tobytes())
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if keep_ids:
                 flat = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(kept))])
