@@ -52,3 +52,19 @@ def test_edges_and_shards(spark, monkeypatch):
     heads = {r.digest: (r.width, r.height, r.bits) for r in media.header_columns(media.place_of(index), root).collect()}
     assert heads == {r.digest: (64, r.payload_bytes // 64, 8) for r in media.payload_columns(media.place_of(index), root).collect()}
     assert media.write_media(docs.limit(0), root).count() == 0
+
+
+def test_a_payload_is_stored_once(spark, monkeypatch):
+    rows = [(i, ["same", "text \0", "text ", f"own {i}"][i % 4]) for i in range(60)] + [(None, "none"), (None, "none again"), (None, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for bound in (100_000, -1):
+        monkeypatch.setattr(media, "BROADCAST_COPIES", bound)
+        root = fresh_path(spark, "media-once")
+        index = media.write_media(docs, root).collect()
+        assert sorted((r.doc_id or -1, r.n_bytes, r.digest) for r in index) == sorted((i or -1, len(t.encode()), sha(pad(t))) for i, t in rows)
+        store, base = media._store(root)
+        names = []
+        for shard in {r.shard for r in index}:
+            with store.open_input_file(f"{base}/{shard}") as f:
+                names += list(media.shard_members(f.read()))
+        assert len(names) == len(set(names)) == len({sha(pad(t)) for _, t in rows})

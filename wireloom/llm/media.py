@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fresh_path, materialize, table
+from .common import arrow_rows, fresh_path, materialize, small, spread, table
 
 #: Samples in a row of the picture, which is also what payloads are padded to.
 WIDTH = 64
@@ -23,6 +23,8 @@ WIDTH = 64
 SHARD_BYTES = 256 << 20
 #: Places that a writing task remembers, to write a payload once.
 KNOWN_PAYLOADS = 1_000_000
+#: Up to so many payloads that several rows have (some 120 bytes each) are broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_COPIES = 100_000
 #: zlib level of the pictures.
 LEVEL = 6
 
@@ -136,38 +138,58 @@ class ShardReader:
         return self._file.read_at(length, offset)
 
 
+def payload_digest(text: Column) -> Column:
+    """The SHA-256 of a text's payload, as payload_of makes it."""
+    n = F.octet_length(text)
+    zeros = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH)))
+    return F.sha2(F.concat(text.cast("binary"), F.unhex(F.repeat(F.lit("00"), zeros))), 256)
+
+
 def write_media(docs: DataFrame, root: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, digest, shard, offset, length; the payloads go to tar shards under root.
 
-    One row per input row. A task writes a payload once and gives its copies the same place; no text is shuffled. Copies in
-    other tasks have places of their own until place_of() takes one for each digest. The index is a Parquet table: it names
-    the shards of the attempts that Spark committed, and only those.
+    One row per input row. A payload is stored once: of rows with equal payloads the one of least doc_id is written, and the
+    others take its place from the index by a join of digests; no text is shuffled. The least ids of payloads that several
+    rows have are broadcast if they are few enough, else joined by a shuffle. (Only rows that repeat both a doc_id and its
+    text can be written more than once, by as many tasks; place_of() then takes one place.) The index is a Parquet table: it
+    names the shards of the attempts that Spark committed, and only those.
 
     Null or empty text: a payload of WIDTH zero bytes, n_bytes 0. Null doc_id stays null, repeated rows repeat, an empty
     table gives an empty index and no shard, other columns are not looked at. Very long texts are stored whole.
     """
-    arrow_rows(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.withColumn("digest", payload_digest(F.col("text")))
+    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(copies.select(F.col("digest").alias("copied"), "least"), "media-copies")
+    held = F.broadcast(copies) if small(copies, BROADCAST_COPIES) else copies.hint("shuffle_hash")
+    marked = rows.join(held, rows["digest"] == held["copied"], "left")
+    writes = F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, places = ShardWriter(root), {}
         try:
             for batch in batches:
                 rows = []
-                for text in batch.column("text").to_pylist():
+                for digest, text, writes in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "writes"))):
                     n, payload = payload_of(text)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    if digest not in places:
+                    if writes and digest not in places:
                         if len(places) >= KNOWN_PAYLOADS:
                             places.clear()
                         places[digest] = writer.add(f"{digest}.png", encode_picture(payload))
-                    rows.append((n, digest, *places[digest]))
-                names = ("n_bytes", "digest", "shard", "offset", "length")
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(names, kinds))})
+                    rows.append((n, *(places[digest] if writes else (None, None, None))))
+                names = ("n_bytes", "shard", "offset", "length")
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+                columns = {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(names, kinds))}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": columns.pop("n_bytes"), "digest": batch.column("digest")} | columns)
         finally:
             writer.close()
 
-    return materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, INDEX), "media-index")
+    written = materialize(marked.select("doc_id", "digest", "text", writes.alias("writes")).mapInArrow(run, INDEX), "media-written")
+    lacking = written.where("shard is null").select("doc_id", "n_bytes", "digest")
+    places = place_of(written.where("shard is not null").join(spread(copies.select(F.col("copied").alias("digest")), "digest"), "digest", "left_semi"))
+    return written.where("shard is not null").unionByName(lacking.join(spread(places, "digest"), "digest").select(*written.columns))
 
 
 def place_of(index: DataFrame) -> DataFrame:
@@ -194,22 +216,21 @@ def header_columns(places: DataFrame, root: str) -> DataFrame:
 
 
 def payload_columns(places: DataFrame, root: str) -> DataFrame:
-    """places -> digest, what the header says, and what the stored bytes give when they are read back and decoded."""
+    """places -> digest, and what the stored bytes give when they are read back and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = ShardReader(root)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                width, height, _ = read_header(reader.read(r["shard"], r["offset"], HEADER_BYTES))
                 media = reader.read(r["shard"], r["offset"], r["length"])
                 payload = decode_picture(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height))
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_pydict({"digest": batch.column("digest")} | {c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(names, kinds))})
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
+    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _by_shard(places.select("digest", "shard", "offset", "length")).mapInArrow(run, schema)
 
 
@@ -225,10 +246,11 @@ def shard_members(raw: bytes) -> dict[str, bytes]:
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    """Every document stored as a picture, and what its header and its bytes give."""
+    """Every document stored as a picture, what its header says, and what its stored bytes give."""
     root = fresh_path(spark, "media-shards")
-    index = write_media(table(spark, sf_dir, "documents"), root)
-    places = materialize(place_of(index).coalesce(16), "media-places")
-    columns = payload_columns(places, root)
+    index = materialize(write_media(table(spark, sf_dir, "documents"), root), "media-index")
+    places = materialize(place_of(index), "media-places")
+    heads = header_columns(places, root)
+    columns = payload_columns(places, root).join(heads, "digest")
     return index.select("doc_id", "n_bytes", "digest").join(columns, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
