@@ -72,3 +72,22 @@ def test_quality_is_preferred(spark):
     got = [r for r in mix_sources(docs, quality).collect() if r.doc_id >= 9000]
     extra = [r.doc_id % 2 for r in got if r.selected]
     assert sum(extra) / len(extra) > 0.55
+
+
+def test_rows_of_one_id_are_mixed_one_by_one(spark):
+    rows = [(None, "one two", "a", "x"), (None, "three four five", "a", "y"), (7, "six", "a", "x"), (7, "seven eight", "b", None), (7, "six", "a", "x"), (8, "", "a", ""), (9, None, None, None)]
+    rows += [(i, "word " * (1 + i % 4), "ab"[i % 2], "") for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    times, taken = defaultdict(int), defaultdict(int)
+    for r in out.collect():
+        times[tuple(r)] += 1
+    for r in mix_sources(docs).collect():
+        taken[r.doc_id] += r.taken
+    words = defaultdict(int)
+    for r, n in times.items():
+        assert r in rows and r[1]
+        words[r[0]] += n * len(r[1].split())
+    assert words == {i: n for i, n in taken.items() if n}
+    assert sorted(map(str, mixed_documents(docs).collect())) == sorted(map(str, out.collect()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, table
 
 #: Relative weights of the sources in code point order, repeating.
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -54,19 +54,11 @@ def source_targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHAR
     return levels.withColumn("target", F.least(F.col("most"), F.coalesce(final["level"] * F.col("weight"), F.col("most")))).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights=SOURCE_WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, epochs, selected; one row per input row.
-
-    Each source is taken in whole epochs as often as its target holds; the rest of the target is filled with the documents
-    of smallest sampling key, up to the document whose middle lies beyond the target. taken = size * (epochs + selected).
-    quality: doc_id, quality; scales the sampling weight.
-
-    Null text: size 0. Null source: a source of its own, last. Null doc_id: sampled by the hash of "". Equal keys: by doc_id,
-    then size. Repeated rows count as often as they occur. Empty table: empty result. Other columns are not looked at.
-    Reruns agree: the key depends on doc_id and seed alone. The sort by row is confined to the one key range in which a
-    source's target ends; the ranges before and after are settled by sums per range.
-    """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def _mixed_rows(docs: DataFrame, quality: DataFrame | None, seed: str, weights, share: float, cap: float, carry: bool) -> DataFrame:
+    """mix_sources, with carry also the rows themselves as a struct, row. Each row is decided where it is: rows move only to
+    meet their quality label and, those of one key range of each source, to be sorted."""
+    text = F.col("text")
+    rows = docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("tie"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry))
     if quality is None:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     else:
@@ -77,7 +69,7 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
     rows = rows.withColumn("key", sampling_key(F.col("doc_id"), weight, seed))
     rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * KEY_RANGES).cast("int")).drop("quality")
     # texts are read twice: a few seconds of counting words cost less than keeping a row per document
-    ranges = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")).coalesce(8), "mix-ranges")
+    ranges = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     plan = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -87,34 +79,49 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "
     # the range in which the rest ends: the first that reaches it
     edge = ends.where(F.col("up_to") >= F.col("rest")).groupBy("p.source").agg(F.min(F.struct("range", (F.col("up_to") - F.col("range_size")).alias("before"))).alias("edge"))
     plan = plan.alias("p").join(edge.alias("e"), F.expr("p.source <=> e.source"), "left")
-    plan = materialize(plan.select("p.source", "source_size", "target", "epochs", "rest", F.coalesce("edge.range", F.lit(KEY_RANGES + 1)).alias("edge_range"), F.coalesce("edge.before", F.lit(0)).alias("edge_before")).coalesce(1), "mix-plan")
+    plan = materialize(plan.select("p.source", "source_size", "target", "epochs", "rest", F.coalesce("edge.range", F.lit(KEY_RANGES + 1)).alias("edge_range"), F.coalesce("edge.before", F.lit(0)).alias("edge_before")), "mix-plan")
 
     if small(plan, BROADCAST_SOURCES):
         plan = F.broadcast(plan)
     joined = rows.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).drop(F.col("p.source"))
     inside = joined.where(F.col("range") != F.col("edge_range")).withColumn("selected", F.col("range") < F.col("edge_range"))
-    by_key = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_key = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ending = joined.where(F.col("range") == F.col("edge_range")).withColumn("through", F.col("edge_before") + F.sum("size").over(by_key))
     ending = ending.withColumn("selected", 2 * F.col("through") - F.col("size") <= 2 * F.col("rest")).drop("through")
+    times = F.col("epochs") + F.col("selected").cast("long")
     out = inside.unionByName(ending)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("selected").cast("long"))).alias("taken"), "epochs", "selected")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "epochs", "selected", *["row"] * carry)
+
+
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights=SOURCE_WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, epochs, selected; one row per input row.
+
+    Each source is taken in whole epochs as often as its target holds; the rest of the target is filled with the documents
+    of smallest sampling key, up to the document whose middle lies beyond the target. taken = size * (epochs + selected).
+    quality: doc_id, quality; scales the sampling weight.
+
+    Null text: size 0. Null source: a source of its own, last. Null doc_id: sampled by the hash of "". Equal keys: by doc_id,
+    then size, then the text's hash. Repeated rows count as often as they occur. Empty table: empty result. Other columns are
+    not looked at. Reruns agree: the key depends on doc_id and seed alone. The sort by row is confined to the one key range in
+    which a source's target ends; the ranges before and after are settled by sums per range.
+    """
+    return _mixed_rows(docs, quality, seed, weights, share, cap, False)
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken (not at all, once, twice, ...), with the columns of docs.
 
-    docs needs unique doc_id. Documents of size 0 go: the mix takes no words of them.
+    Rows are decided one by one, as mix_sources says, so null or repeated doc_ids, repeated rows and unlike texts under one id
+    stand as often as each of them is taken. Documents of size 0 (null, empty, without words) go: the mix takes no words of
+    them. Very long texts are taken whole or not at all. Empty table: empty result. Extra columns go through untouched.
     """
-    times = mix_sources(docs, quality, seed).select(F.col("doc_id").alias("_mix_id"), (F.col("epochs") + F.col("selected").cast("long")).cast("int").alias("_mix_times"), F.col("size").alias("_mix_size"))
-    times = times.where((F.col("_mix_size") > 0) & (F.col("_mix_times") > 0))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mix_id"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[docs[c] for c in docs.columns])
+    mixed = _mixed_rows(docs, quality, seed, SOURCE_WEIGHTS, SHARE, CAP, True)
+    copies = mixed.where(F.col("taken") > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs") + F.col("selected").cast("long"))).alias("copy"))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """All of documents, mixed with the quality labels."""
-    from .common import table
-
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "size", "source_size", "target", "taken")
 
 
