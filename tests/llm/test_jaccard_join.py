@@ -110,3 +110,16 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 200 for i in range(200, 260)}
+
+
+def test_one_of_each_of_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(40)]
+    text = " ".join(base)
+    near = " ".join([*base[:-1], "other"])
+    rows = [(5, text, "a"), (3, near, "b"), (3, near, "b"), (4, text, "c"), (None, text, "d"), (None, text, "d"), (6, None, "e"), (7, "", "f"), (8, "alone in the world now", "g"), (8, "alone", "h"), (9, None, "i"), (9, "nine", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    out = jj.one_of_each(docs)
+    assert out.columns == docs.columns
+    want = [(3, near, "b"), (None, text, "d"), (None, text, "d"), (6, None, "e"), (7, "", "f"), (8, "alone", "h"), (9, None, "i")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert jj.one_of_each(docs.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, small, spread, table
@@ -82,7 +82,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
                     out.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().coalesce(16), "jaccard-ids")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
     texts = materialize(_texts(docs, ids).dropDuplicates(["doc_id", "text"]), "jaccard-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
     return materialize(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "jaccard-links")
@@ -194,10 +194,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     classes = materialize(named.join(spread(least, "d1", "d2"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")), "jaccard-classes")
 
-    # one shuffle of the keys; the window spills, so a bucket of any size passes
-    bucket = Window.partitionBy("key")
-    shared = _block_keys(docs, k, percent).withColumns({"lo": F.min("doc_id").over(bucket), "hi": F.max("doc_id").over(bucket)}).where("lo <> hi")
-    hits = shared.join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
+    # classes of a key are distinct before anything is gathered by key, and a key's rows are only ever aggregated and joined
+    # with one row per key, so a hot key is spread over all tasks that met it
+    keyed = materialize(_block_keys(docs, k, percent), "jaccard-keys")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+    hits = keyed.join(spread(shared, "key"), "key").join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
     hits = materialize(hits, "jaccard-hits")
     hubs = hits.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub <> hi").select("key", "hub")
     members = materialize(hits.join(spread(hubs, "key"), "key").select("key", "doc_id", "hub"), "jaccard-members")
@@ -225,11 +226,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one of smallest doc_id; all columns stay, rows with null doc_id too."""
+    """docs with one document of each component, the one of smallest doc_id; all columns stay.
+
+    Null or empty texts, and those without words, are linked with nothing and stay. Rows with null doc_id can't be linked and
+    stay, too. Rows that share a doc_id are one document: of those that stay the one whose text is least in code point order
+    (null first) is kept, and of rows alike in that any one. Very long texts count whole. Empty table: empty result.
+    """
     found = jaccard_components(docs, k, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_near_id"), docs["doc_id"] == F.col("_near_id"), "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    ids = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "jaccard-kept")
+    gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id"))
+    again = ids.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias("_near_id"))
+    kept = docs.join(gone, docs["doc_id"] == gone["_near_id"], "left_anti")
+    single = kept.join(again, kept["doc_id"] == again["_near_id"], "left_anti")
+    # few rows as a rule; the least row of an id is found in each task before rows move
+    several = kept.join(again, kept["doc_id"] == again["_near_id"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = several.groupBy(F.col("doc_id").alias("_near_id")).agg(F.min_by(row, F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))).alias("_near_row"))
+    return single.unionByName(least.select(*[F.col("_near_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ class Bands:
     holds the same shingles, and not none, in both sets.
     """
 
-    def __init__(self, percent: int, largest: int = 1 << 26) -> None:
+    def __init__(self, percent: int, largest: int = 1 << 31) -> None:
         if not 0 < percent <= 100:
             raise ValueError("percent must be in 1..100")
         self.percent, self.first, self.differ, self.blocks = percent, [1], [], []
