@@ -143,3 +143,39 @@ def test_addresses_and_documents(spark, server):
     assert (got[1].title, got[1]["where"], got[3].title, got[3]["where"]) == ("T", server + "/feed", "inline", None)
     assert got[2].error.message.startswith("HTTPError") and got[4].error.message == "Empty content"
     assert [r.n for r in p.entries.collect()] == [3]
+
+
+def test_each_address_is_fetched_once(spark, tmp_path):
+    from wireloom.plans.api import parse_sources
+
+    log = str(tmp_path / "log")
+
+    def get(url):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        return PAGES["/" + url.rsplit("/", 1)[1]]
+
+    rows = [(1, "http://h/a"), (2, "http://h/gone"), (3, "<rss><channel><title>inline</title></channel></rss>")]
+    p = parse_sources(spark.createDataFrame(rows, "n int, source string"), get=get)
+    assert {r.n: (r.title, r.source) for r in p.feeds.collect()} == {1: ("T", "http://h/feed"), 2: (None, "http://h/gone"), 3: ("inline", None)}
+    assert p.feeds.count() == 3 and p.entries.count() == 0
+    assert sorted(open(log).read().split()) == [f"http://h/{x}" for x in ("a", "b", "feed", "gone")]
+
+
+def test_fill_cache(spark, tmp_path):
+    folder, log = tmp_path / "cache", str(tmp_path / "log")
+    folder.mkdir()
+
+    def get(url):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        if "gone" in url:
+            raise OSError("gone")
+        return url.encode()
+
+    urls = spark.createDataFrame([(1, "http://a/1"), (2, "http://a/2"), (3, "http://a/2"), (4, "http://a/gone"), (5, None)], "n int, source string")
+    for _ in range(2):
+        got = {r.n: (r.content and bytes(r.content).decode(), r.error) for r in fetch.fill_cache(urls, str(folder), get).collect()}
+        assert got == {1: ("http://a/1", None), 2: ("http://a/2", None), 3: ("http://a/2", None), 4: (None, "OSError: gone")}
+    assert sorted(open(log).read().split()) == ["http://a/1", "http://a/2", "http://a/gone", "http://a/gone"]
+    assert len([x for x in folder.iterdir() if not x.name.startswith((".", "_"))]) == 2

@@ -12,7 +12,7 @@ from ..operators.entries import Flags, with_authors, xml_entries
 from ..operators.feeds import xml_feeds
 from ..operators.jsonfeed import is_json_feed, json_entries, json_feeds, parse_json
 from ..operators.shred import shred
-from ..sources.fetch import HOPS, fetch, fetch_documents, follow_refreshes
+from ..sources.fetch import HOPS, fetch, fetch_documents, follow_refreshes, settled
 
 
 @dataclass(frozen=True)
@@ -48,12 +48,12 @@ def parse_documents(
     rows = _sniffed(docs, keys, content)
     as_json = rows.where("json_text is not null").select(*keys, parse_json(F.col("json_text")).alias("json"))
     as_xml = rows.where("json_text is null").select(*keys, content)
-    feeds = xml_feeds(shred(as_xml, content, with_items=False), keys, include_tags).unionByName(json_feeds(as_json, keys))
+    feeds = xml_feeds(shred(as_xml, content, with_items=False, media=False), keys, include_tags).unionByName(json_feeds(as_json, keys))
     if mode == "DROPMALFORMED":
         feeds = feeds.where("error is null")
     elif mode == "FAILFAST":
         feeds = feeds.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error.message")).cast("struct<class:string,message:string>")))
-    entries = xml_entries(shred(as_xml, content), keys, flags).unionByName(json_entries(as_json, keys, flags))
+    entries = xml_entries(shred(as_xml, content, media=include_media), keys, flags).unionByName(json_entries(as_json, keys, flags))
     return Feeds(feeds, with_authors(entries))
 
 
@@ -61,13 +61,13 @@ def parse_sources(sources: DataFrame, source: str = "source", hops: int = HOPS,
     """Feeds and entries of a string column that holds addresses or documents.
 
     Addresses (http:// or https://, as written) are fetched where their rows are, and pages that send the reader on are
-    followed. An address that can't be read has a row in feeds whose error says why. Other columns are the keys; the address
+    followed; each address is fetched once, before this returns. An address that can't be read has a row in feeds whose error says why. Other columns are the keys; the address
     that a document came from at last is in the column named like the source, null for documents.
     """
     rows = sources.withColumn("_address", is_http_url(F.col(source)))
     names = [c for c in sources.columns if c != source]
     given = rows.where(~F.col("_address")).select(*names, F.lit(None).cast("string").alias("source"), F.encode(F.coalesce(source, F.lit("")), "UTF-8").alias("content"))
-    fetched = fetch_documents(rows.where("_address").select(*names, F.col(source).alias("source")), get)
+    fetched = settled(fetch_documents(rows.where("_address").select(*names, F.col(source).alias("source")), get))
     read = follow_refreshes(fetched.where("error is null").drop("error"), get, hops)
     parsed = parse_documents(given.unionByName(read), "content", [*names, "source"], **options)
     gone = fetched.where("error is not null").select(*names, "source", F.struct(F.lit("URLError").alias("class"), F.col("error").alias("message")).alias("error"))

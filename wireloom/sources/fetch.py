@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
@@ -12,6 +13,7 @@ from urllib.request import Request, urlopen
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -101,6 +103,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeedUrls)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint where spark.checkpoint.dir names a folder, else, on one machine, kept on disk.
+
+    What was fetched must not be fetched again by every action and branch that reads it.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        if where := spark.conf.get("spark.checkpoint.dir", None):
+            spark.sparkContext.setCheckpointDir(where)
+        else:
+            kept = df.persist(StorageLevel.DISK_ONLY)
+            kept.count()
+            return kept
+    return df.checkpoint(True)
+
+
 def fetch_documents(urls: DataFrame, get: Callable[[str], bytes] = fetch) -> DataFrame:
     """urls (source, ...) -> all columns, content and error. Addresses are fetched where their rows are."""
     names = urls.columns
@@ -122,6 +140,31 @@ def cached(urls: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     return keyed.join(files, "key").drop("key"), keyed.join(files.select("key"), "key", "left_anti").drop("key")
 
 
+def fill_cache(urls: DataFrame, folder: str, get: Callable[[str], bytes] = fetch) -> DataFrame:
+    """urls (source) -> all columns, content and error. What the folder lacks is fetched and, if it could be, written there
+    under its address's key, each address once; executors write to the folder, so it must be shared. Null addresses go."""
+    known, lacking = cached(urls.where("source is not null"), folder)
+    new = fetch_documents(lacking.select("source").distinct(), get).withColumn("key", url_key(F.col("source")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        for batch in batches:
+            for key, content in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist()):
+                if content is not None:
+                    # under a name of its own first: readers of the folder never see half a file
+                    with store.open_output_stream(part := f"{base}/_{key}-{uuid.uuid4().hex}", compression=None) as out:
+                        out.write(content)
+                    store.move(part, f"{base}/{key}")
+            yield batch
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+    got = settled(new.mapInArrow(run, fields)).select(F.col("source").alias("_address"), "content", "error")
+    filled = lacking.join(got, lacking["source"] == got["_address"]).select(*[lacking[c] for c in urls.columns], "content", "error")
+    return known.select(*urls.columns, "content").withColumn("error", F.lit(None).cast("string")).unionByName(filled)
+
+
 def refresh_target(content: bytes | str | None, base: str | None) -> str | None:
     """Where a page's first meta refresh that leads elsewhere sends the reader."""
     if not content:
@@ -157,11 +200,12 @@ def follow_refreshes(docs: DataFrame, get: Callable[[str], bytes] = fetch, hops:
         judged = todo.withColumn("raw", F.col("content")).withColumn("is_json", is_json_feed(F.col("content").cast("string")))
         judged = shred(judged, with_items=False).withColumnRenamed("raw", "content")
         html = F.col("error.message").contains("HTML") | F.col("error.message").contains("not a valid RSS/Atom feed")
-        judged = judged.withColumn("next", F.when(is_http_url(F.col("source")) & html & ~F.col("is_json"), meta_refresh(F.col("content"), F.col("source"))))
+        # judged once: the pages to go to are counted, fetched and told from those that stay
+        judged = settled(judged.withColumn("next", F.when(is_http_url(F.col("source")) & html & ~F.col("is_json"), meta_refresh(F.col("content"), F.col("source")))).select(*names, "next"))
         stays = judged.where("next is null").select(*names)
         done = stays if done is None else done.unionByName(stays)
         moved = judged.where("next is not null").select(*[F.col("next").alias("source") if c == "source" else F.col(c) for c in names if c != "content"])
         if moved.limit(1).count() == 0:
             return done
         todo = fetch_documents(moved, get).select(*names)
-    return done.unionByName(todo)
+    return done.unionByName(settled(todo))
