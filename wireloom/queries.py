@@ -130,7 +130,7 @@ def repaired_dates(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", normalize_date(text).alias("iso"))
 
 
-@query(f"""SELECT conv_id, turn, 'tag:' || conv_id || ':' || turn AS id, role AS title, left({_STRIP.format("regexp_replace(text, '\\s+', ' ', 'g')")}, 40) AS summary, role AS author,
+@query(f"""SELECT conv_id, turn, 'tag:' || conv_id || ':' || turn AS id, role AS title, md5({_STRIP.format('text')}) AS summary_md5, role AS author,
   'https://example.org/c/' || conv_id || '/' || turn AS link, '2024-01-02T03:04:05+00:00' AS published FROM conversations""")
 def atom_entries(spark, sf_dir):
     """Atom threads: an entry for each turn, with author, link and dates."""
@@ -139,7 +139,7 @@ def atom_entries(spark, sf_dir):
                 _cat('<link href="https://example.org/c/', F.col("conv_id"), "/", F.col("turn"), '"/>'), _el("updated", "2024-01-02T03:04:05Z"))
     e = parse_documents(_documents(rows, "k", entry, *ATOM, group=1000)).entries
     part = lambda i: F.element_at(F.split("id", ":"), i).cast("bigint")
-    return e.select(part(2).alias("conv_id"), part(3).alias("turn"), "id", "title", F.left(F.trim(F.regexp_replace("description", r"\s+", " ")), F.lit(40)).alias("summary"), "author", "link", "published")
+    return e.select(part(2).alias("conv_id"), part(3).alias("turn"), "id", "title", F.md5("description").alias("summary_md5"), "author", "link", "published")
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS published, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(ts + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S+00:00') END AS updated FROM events""")
@@ -249,24 +249,24 @@ def entry_links(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'http://g/' || o_orderkey WHEN 1 THEN '2024-03-04T05:06:07Z' ELSE NULL END AS id,
-  CASE o_orderkey % 3 WHEN 0 THEN 'http://g/' || o_orderkey END AS link, CASE o_orderkey % 3 WHEN 1 THEN '2024-03-04T05:06:07+00:00' WHEN 2 THEN '2024-04-05T00:00:00+00:00' END AS published FROM orders WHERE o_orderkey % 10 < 3""")
+  CASE o_orderkey % 3 WHEN 0 THEN 'http://g/' || o_orderkey END AS link, CASE o_orderkey % 3 WHEN 1 THEN '2024-03-04T05:06:07+00:00' WHEN 2 THEN '2024-04-05T00:00:00+00:00' END AS published FROM orders""")
 def guid_rules(spark, sf_dir):
     """A guid as link, as date, and an update in place of a missing date."""
     k = F.col("o_orderkey")
     body = F.when(k % 3 == 0, _cat("<guid>http://g/", k, "</guid>")).when(k % 3 == 1, F.lit("<guid>2024-03-04T05:06:07Z</guid>")).otherwise(F.lit("<lastBuildDate>Fri, 05 Apr 2024 00:00:00 +0000</lastBuildDate>"))
-    e = parse_documents(_documents(_table(spark, sf_dir, "orders").where(k % 10 < 3), "o_orderkey", _el("item", body), *RSS, group=1)).entries
+    e = parse_documents(_documents(_table(spark, sf_dir, "orders"), "o_orderkey", _el("item", body), *RSS, group=1)).entries
     return e.select(F.col("feed_id").alias("o_orderkey"), "id", "link", "published")
 
 
 @query(f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN md5('<p>' || text || '</p>') WHEN 1 THEN md5('<b>short</b>') ELSE md5(text) END AS value_md5,
-  CASE doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'short' ELSE left({_STRIP.format("text")}, 20) END AS description FROM documents""")
+  md5(CASE doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'short' ELSE {_STRIP.format("text")} END) AS description_md5 FROM documents""")
 def content_pref(spark, sf_dir):
     """content:encoded before content, a description in their place, and a description made from a content."""
     k = F.col("doc_id")
     body = (F.when(k % 3 == 0, F.concat(F.lit("<description>D</description><content>no</content>"), _el("content:encoded", "&lt;p&gt;", _x("text"), "&lt;/p&gt;")))
             .when(k % 3 == 1, F.lit("<content><![CDATA[<b>short</b>]]></content>")).otherwise(_el("description", _x("text"))))
     e = parse_documents(_documents(_table(spark, sf_dir, "documents"), "doc_id", _el("item", _el("guid", "d", k), body), *RSS)).entries
-    return e.select(_id().alias("doc_id"), F.md5(F.get("content", F.lit(0))["value"]).alias("value_md5"), F.when(F.col("description").isin("D", "short"), F.col("description")).otherwise(F.left("description", F.lit(20))).alias("description"))
+    return e.select(_id().alias("doc_id"), F.md5(F.get("content", F.lit(0))["value"]).alias("value_md5"), F.md5("description").alias("description_md5"))
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'rdf' END AS feed_type, n_name AS title, 'http://h/' || n_nationkey AS link, 'about ' || n_name AS subtitle,
@@ -289,11 +289,12 @@ def feed_meta(spark, sf_dir):
                     F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["rel"], x["href"])), "|").alias("links"), F.get("tags", F.lit(0))["term"].alias("tag"))
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Content appears to be HTML, not a valid RSS/Atom feed' WHEN 1 THEN 'Empty content' ELSE 'Content appears to be HTML, not a valid RSS/Atom feed' END AS message FROM pages""")
+@query("SELECT page_id, 'Content appears to be HTML, not a valid RSS/Atom feed' AS message FROM pages")
 def sniff_reject(spark, sf_dir):
-    """Pages are no feeds, nor is nothing."""
-    k = F.col("page_id")
-    docs = _table(spark, sf_dir, "pages").select("page_id", F.when(k % 3 == 1, F.lit("")).when(k % 3 == 2, F.concat(F.lit("hello <script> <body>"), F.col("html"))).otherwise(F.col("html")).alias("content"))
+    """Pages are no feeds: as they are, behind white space and a byte order mark, and behind words."""
+    k = F.col("page_id") % 3
+    content = F.concat(F.when(k == 1, F.lit("\n \ufeff")).when(k == 2, F.lit("hello <script> <body>")).otherwise(F.lit("")), F.col("html"))
+    docs = _table(spark, sf_dir, "pages").select("page_id", content.alias("content"))
     return parse_documents(docs).feeds.select("page_id", F.col("error.message").alias("message"))
 
 
