@@ -13,27 +13,50 @@ from wireloom.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; lang says which. Texts without letters and of unknown languages go."""
+    """Documents whose language is found; lang says which. Texts without letters and of unknown languages go.
+
+    Each row is judged by its own text and source. Null and empty texts go, null and repeated ids and repeated rows are judged
+    like any others, very long texts whole; ties go to the language first in code point order. Empty table: empty result.
+    Extra columns go through untouched, whatever their names.
+    """
     return language_id.accepted_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near copies, the one of smallest id: shingles of five words, similarity of 0.8 or more.
+
+    Null and empty texts and rows with null id are linked with nothing and stay; of the rows of one id the one with the least
+    text stays (ties: any one, they are alike in id and text). Very long texts count whole. Empty table: empty result. Extra
+    columns go through untouched.
+    """
     return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets blanked out."""
+    """All documents, their secrets blanked out.
+
+    Each row is redacted by its own text, whatever its id. Null stays null, empty stays empty, repeated rows repeat, very long
+    texts are scanned whole, overlapping secrets become one mark. Empty table: empty result. Extra columns go through untouched.
+    """
     return secret_scan.redact_secrets(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document stands as often as it is taken."""
+    """The mix of sources: a document stands as often as it is taken.
+
+    Rows are decided one by one. Null and empty texts have no words and go; null sources are one source, the last; null ids
+    are sampled by the hash of "". Equal keys go by id, size and the text's hash; repeated rows are as many documents. Very
+    long texts are taken whole. Empty table: empty result. Extra columns go through untouched.
+    """
     return mixing.mixed_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document of the mix.
+
+    Null and empty texts have no ids; null ids stay null, repeated rows repeat, very long texts are encoded whole. Empty
+    table: empty result. Extra columns are not looked at.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
