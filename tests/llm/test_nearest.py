@@ -86,3 +86,31 @@ def test_beam_beats_greedy_codes():
         assert np.allclose(np.linalg.norm(y, axis=1), norms, rtol=1e-4) and np.allclose(q.scores(x[0], codes, norms), y @ x[0] / norms, atol=1e-3)
         errors.append(float(((x - y) ** 2).sum()))
     assert errors[1] < errors[0]
+
+
+def test_cells_keep_the_neighbours(spark, monkeypatch):
+    from wireloom.llm import nearest as nn
+
+    rng = np.random.default_rng(4)
+    tiles = []
+    order = nn.cell_order
+    monkeypatch.setattr(nn, "CHUNK", 400)
+    monkeypatch.setattr(nn, "cell_order", lambda q, centres, probes: tiles.append((len(centres), probes)) or order(q, centres, probes))
+    middles = rng.normal(size=(60, 24)) * 2
+    spread = np.concatenate((middles[rng.integers(60, size=8000)] + rng.normal(size=(8000, 24)), rng.normal(size=(2000, 24))))
+    vectors = {i: x.tolist() for i, x in enumerate(spread)}
+    got = nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, rerank=80, sample=4000).collect()
+    want = brute(vectors, [i for i in vectors if i % 50 == 0])
+    assert recall(got, want) >= 0.9
+    assert tiles[0] == (25, 25) and tiles[1][1] < 25  # all cells for the sample of queries, fewer for all
+
+
+def test_each_length_is_a_space(spark):
+    rng = np.random.default_rng(5)
+    short, long = {i: rng.normal(size=3).tolist() for i in range(0, 60)}, {i: rng.normal(size=5).tolist() for i in range(60, 100)}
+    df = spark.createDataFrame(list((short | long).items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    want = brute(short, [0, 20, 40]) | brute(long, [60, 80])
+    assert got == {q: {k + 1: i for k, (i, _) in enumerate(near)} for q, near in want.items()}
