@@ -30,13 +30,21 @@ def test_edges(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
 
 
-def test_every_pre_token_is_counted_once_and_joined(spark, monkeypatch):
+def test_pre_tokens_are_joined_by_broadcast_or_shuffle(spark, monkeypatch):
     from wireloom.llm import token_counts as tc
 
-    texts = ["the cat  sat", "the the the dog", "a\nb the cat", "x" * 100, None]
+    texts = ["the cat  sat", "the the the dog", "a\nb the cat", "x" * 100, None, "x" * 100 + " the"] * 3
     docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
-    tokens = tc.piece_counts(tc.token_frequencies(docs), MODEL).collect()
-    assert sorted(r.token for r in tokens) == sorted({x for t in texts for x in pre_tokens(t or "")})
     for broadcast in (0, 64 * 1, 131_072):
         monkeypatch.setattr(tc, "BROADCAST_TOKENS", broadcast)
+        frequent = [r.token for r in tc.frequent_tokens(docs).collect()]
+        assert len(frequent) == len(set(frequent)) <= broadcast and set(frequent) <= {x for t in texts for x in pre_tokens(t or "")}
         assert sorted(r.n_tokens for r in count_tokens(docs, MODEL).collect()) == sorted(len(sp.encode(t or "")) for t in texts)
+
+
+def test_a_pre_token_is_cut_once(spark):
+    from wireloom.llm import token_counts as tc
+
+    rows = [(i, f" w{i % 7}", 1 + i % 3) for i in range(3000)]
+    got = {r.row: r.rest for r in tc._joined_counts(spark.createDataFrame(rows, "row long, token string, n long"), MODEL).collect()}
+    assert got == {i: n * len(sp.encode(t[1:])) for i, t, n in rows}
