@@ -82,3 +82,44 @@ def test_ids_as_the_library(stages):
 def test_run(spark, sf, stages):
     key = lambda df: sorted((r.doc_id, r.ids_sha256) for r in df.collect())
     assert key(cp.run(spark, sf)) == key(stages[-1][1])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id string, row int, key string, found string"
+
+
+def odd_documents(spark, sf):
+    """Rows with nulls, empty and very long texts, repeats and clashing names, among clean ones to learn a language from."""
+    clean = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "i", 1, "k", None) for r in table(spark, sf, "documents").where("doc_id < 60").collect()]
+    text = next(t for _, t, lang, *_ in clean if lang == "en" and len(t) > 500)
+    odd = [(None, text, "en", "web", None, None, None, None, None), (None, text + " secret=zyxwvutsrqponml", None, None, 3, "", 0, "", "x"), (None, None, None, None, None, None, None, None, None), (900, "", "en", "", 0, "", 0, "", ""),
+           (901, text[:300], "en", "web", 300, "a", 1, "b", "c"), (901, text[:300], "en", "web", 300, "a", 1, "b", "c"), (901, text[200:500] + " token: abcdefghijklmnop", "en", "web", 1, "a", 2, "b", "c"), (902, (text + " ") * 300, "en", "web", 5, "z", 3, "z", "z")]
+    return spark.createDataFrame(clean + odd, ODD), odd
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_take_odd_rows(spark, sf, k):
+    docs, odd = odd_documents(spark, sf)
+    out = cp.STAGES[k][1](spark, docs, sf)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got, want = rows(out), Counter(map(tuple, rows(docs)))
+    texts = Counter((r.doc_id, r.text) for r in got)
+    if cp.STAGES[k][0] == "secret scans":
+        assert len(got) == sum(want.values()) and not any("zyxwv" in (t or "") or "abcdefghijklmnop" in (t or "") for _, t in texts)
+        assert {(None, odd[0][1]), (None, None), (900, "")} <= set(texts) and texts[901, odd[4][1]] == 2
+        assert all(r.n_chars == len(r.text) for r in got if "[SECRET]" in (r.text or ""))
+        return
+    plain = Counter((i, t) for (i, t, *_), n in want.items() for _ in range(n))
+    assert set(texts) <= set(plain)
+    if cp.STAGES[k][0] == "language ID":
+        assert not [t for _, t in texts if not t] and texts[901, odd[4][1]] == 2 and texts[None, odd[0][1]] == 1
+    elif cp.STAGES[k][0] == "n-gram Jaccard join":
+        assert texts[None, None] == 1 and texts[900, ""] == 1 and sum(n for (i, _), n in texts.items() if i == 901) <= 1 and texts[None, odd[0][1]] == 1
+    else:
+        assert not [t for _, t in texts if not t] and all(n <= 2 * plain[key] for key, n in texts.items())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_an_empty_table(spark, sf, k):
+    empty = table(spark, sf, "documents").limit(0)
+    out = cp.STAGES[k][1](spark, empty, sf)
+    assert out.count() == 0 and (k == 4 or out.columns == empty.columns)

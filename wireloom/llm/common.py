@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 _own_dir: dict[str, str] = {}
+#: Paths made within each open scratch().
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,15 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new path in the shared folder; within scratch() it goes with it, unless it is kept."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, and any executor may be lost after it."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = fresh_path(spark, label, keep)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
@@ -51,8 +58,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() gave and that nothing will read again."""
     for df in tables:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, df._stage_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made within are deleted at its end, unless they are kept: what leaves it must have been written as a kept table."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, small, spread, table
+from .common import arrow_rows, discard, materialize, small, spread, table
 from .components import components
 from .shingles import Bands, fold, parity_sketch, set_digest, shingle_hashes
 
@@ -200,8 +200,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
     hits = keyed.join(spread(shared, "key"), "key").join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
     hits = materialize(hits, "jaccard-hits")
+    discard(keyed)
     hubs = hits.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub <> hi").select("key", "hub")
     members = materialize(hits.join(spread(hubs, "key"), "key").select("key", "doc_id", "hub"), "jaccard-members")
+    discard(hits)
 
     # a doc_id with several texts belongs to several classes, which are one document
     links = classes.where("class_id <> other").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
