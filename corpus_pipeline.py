@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wireloom.llm import bpe, jaccard_join, language_id, mixing, secret_scan
-from wireloom.llm.common import materialize, table
+from wireloom.llm.common import discard, materialize, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +72,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result over the table documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch(spark):
+            docs = materialize(stage(spark, before, sf_dir), "pipeline-" + name.replace(" ", "-"), keep=True)
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
