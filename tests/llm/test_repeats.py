@@ -90,3 +90,16 @@ def test_sorted_with_prefixes(strings):
 
 def test_lcp():
     assert lcp(int.from_bytes(b"abc", "big"), int.from_bytes(b"abd", "big"), 3) == 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=40), st.binary(max_size=40), st.binary(max_size=40), st.binary(max_size=40), st.integers(0, 336), st.integers(0, 400))
+def test_two_contexts_as_three(a, b, c, d, left, right):
+    middle = bytes(i % 251 for i in range(left)), bytes(i % 241 for i in range(64 + right))
+    contexts = []
+    for before, after in ((a, b), (c, d)):
+        l_, r_ = (before + middle[0])[-repeats.LEFT :], (middle[1] + after)[: repeats.LENGTH]
+        contexts.append((l_ + r_, len(l_), len(r_)))
+    # a third one that has nothing in common with them sends the two through the sorting
+    other = (b"\xff" * 500, 200, 300)
+    assert repeats.covered(contexts) == repeats.covered([*contexts, other])[:2]

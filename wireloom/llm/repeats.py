@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, spread, table
+from .common import arrow_rows, discard, materialize, scratch, spread, table
 from .deep_shallow import intervals, lcp, sort_strings
 from .shingles import mix
 
@@ -112,6 +112,19 @@ def _with_texts(docs: DataFrame, by_digest: DataFrame, items: str) -> DataFrame:
     return texts.join(by_digest.hint("shuffle_hash"), "d")
 
 
+def _covered_pair(one: tuple[bytes, int, int], two: tuple[bytes, int, int]) -> list[tuple[int, int]]:
+    """covered() for two contexts, which are in order as they stand: what they have in common on either side."""
+    (x, left_x, right_x), (y, left_y, right_y) = one, two
+    left, right = min(left_x, left_y), min(right_x, right_y)
+    after = lcp(int.from_bytes(x[left_x : left_x + right], "big"), int.from_bytes(y[left_y : left_y + right], "big"), right)
+    if left + after < LENGTH:
+        return [(0, 0), (0, 0)]
+    # common ends are common beginnings of the strings read from the end
+    before = lcp(int.from_bytes(x[left_x - left : left_x], "little"), int.from_bytes(y[left_y - left : left_y], "little"), left)
+    both = (before, after) if before + after >= LENGTH else (0, 0)
+    return [both, both]
+
+
 def covered(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
     """contexts (bytes, l, r) around one gram -> bytes before and from the anchor that repeated strings cover; (0, 0): none.
 
@@ -120,6 +133,8 @@ def covered(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
     agree with a context in r bytes to the right are a run in the one order; of those, the ones that agree farthest to the
     left are its neighbours in the other order.
     """
+    if len(contexts) == 2:
+        return _covered_pair(*contexts)
     sides = []
     for strings, width in (([x[left : left + right] for x, left, right in contexts], LENGTH), ([x[:left][::-1] for x, left, _ in contexts], LEFT)):
         # past the end of a text stands a zero; lengths then bound what is common
@@ -208,10 +223,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     3. Of each other context and one of each equal ones the bytes are fetched and sorted within the gram's bucket; common
        prefixes and suffixes say what is covered. Large buckets are split first.
     """
-    found = materialize(_anchor_rows(docs), "repeats-anchors").withColumn("occ", F.xxhash64("d", "pos"))
+    rows = materialize(_anchor_rows(docs), "repeats-anchors")
+    found = rows.withColumn("occ", F.xxhash64("d", "pos"))
     grams = found.groupBy("g").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.max("twice").alias("twice")).where("lo <> hi or twice")
     # copies of a text in several tasks give their rows again: counts below are of distinct occ
     kept = materialize(found.join(spread(grams.select("g", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "g"), "g"), "repeats-kept")
+    discard(rows)
     contexts = kept.groupBy("g", "c").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi"), F.max("twice").alias("twice"), F.max("mixed").alias("mixed"))
     repeated = F.col("twice") | (F.col("lo") != F.col("hi"))
     whole = kept.drop("twice").join(spread(contexts.where(repeated).select("g", "c"), "g", "c"), ["g", "c"]).where(F.col("l") + F.col("r") >= LENGTH)
@@ -250,7 +267,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"), *([text.cast("binary").alias("text")] * keep_text))
     copies = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= LENGTH)).select("digest", F.lit(True).alias("copied"))
-    spans = materialize(repeated_spans(docs), "repeats-spans")
+    with scratch(docs.sparkSession):
+        spans = materialize(repeated_spans(docs), "repeats-spans", keep=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
