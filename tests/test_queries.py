@@ -4,6 +4,7 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -58,3 +59,19 @@ def test_sniff_reject_reads_whole_pages(spark, tmp_path, monkeypatch):
     entry.queries()["sniff_reject"](spark, str(tmp_path))
     content = {r.page_id: r.content for r in seen[0].collect()}
     assert content[0] == html and content[2].endswith(html)
+
+
+def test_html_to_texts_where_the_cut_goes_through_a_reference(spark, tmp_path):
+    from wireloom.functions.text import html_to_text
+
+    # the 2,048 characters end after 0 to 6 characters of a reference
+    pages = [(i, f"<p>{'<b></b>' * 286}{'x' * (2043 - 2002 - i)}  {r} &quot;&lt; more</p>") for i, r in ((i, r) for r in ("&amp;", "&lt;", "&copy;", "&middot;") for i in range(9))]
+    spark.createDataFrame([(k, html) for k, (_, html) in enumerate(pages)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(con.execute(entry.oracle_sql()["html_to_texts"]).fetchall())
+    assert {t.split(" ")[-1] for _, t in want} >= {"&amp", "&lt", "&middot"}
+    assert sorted(map(tuple, entry.queries()["html_to_texts"](spark, str(tmp_path)).collect())) == want
+    # a feed's descriptions keep HTML's rule
+    df = spark.createDataFrame([("<b>a &amp b &notit; c</b>",)], "t string")
+    assert df.select(html_to_text(F.col("t")), html_to_text(F.col("t"), ended=True)).first() == ("a & b ¬it; c", "a &amp b ¬it; c")

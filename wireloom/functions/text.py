@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.types import StringType
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Characters of markup that a description is made from, and its length.
 MARKUP_CHARS, DESCRIPTION_CHARS = 2048, 512
+_ENDED = re.compile(r"&#?\w+;", re.ASCII)
 
 
 def let(value: Column, body) -> Column:
@@ -67,16 +69,25 @@ def html_unescape(c: Column) -> Column:
     return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
-def html_to_text(c: Column) -> Column:
+@F.pandas_udf(StringType())
+def _unescape_ended(values: pd.Series) -> pd.Series:
+    return values.map(lambda t: _ENDED.sub(lambda m: html.unescape(m[0]), t), na_action="ignore")
+
+
+def html_to_text(c: Column, ended: bool = False) -> Column:
     """A short description from markup or text.
 
     With both angle brackets: of the first characters, tags become spaces and references are resolved. White space is
     collapsed and cut off at the ends; the result is cut to its length. Text without tags is not unescaped.
+
+    ended: references without their semicolon, as the cut to the first characters leaves some, stay as they stand. Else they
+    are resolved, too, where their names allow it (HTML's own rule).
     """
+    unescape = _unescape_ended if ended else _unescape
     tagged = lambda t: t.contains("<") & t.contains(">")
     # references stand only where tags stood: what goes to Python is null for all other strings
     bare = let(c, lambda t: F.when(tagged(t), F.regexp_replace(F.left(t, F.lit(MARKUP_CHARS)), "<[^>]+>", " ")))
-    text = F.coalesce(_unescape(let(bare, lambda t: F.when(t.contains("&"), t))), bare, c)
+    text = F.coalesce(unescape(let(bare, lambda t: F.when(t.contains("&"), t))), bare, c)
     # single spaces are their own collapse
     return let(text, lambda t: F.left(ustrip(collapse(t)), F.lit(DESCRIPTION_CHARS)))
 
