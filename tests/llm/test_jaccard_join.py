@@ -123,3 +123,59 @@ def test_one_of_each_of_repeated_and_null_ids(spark):
     want = [(3, near, "b"), (None, text, "d"), (None, text, "d"), (6, None, "e"), (7, "", "f"), (8, "alone", "h"), (9, None, "i")]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
     assert jj.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_keys_in_slices(spark, monkeypatch):
+    rows, written, tables = families(11), [], {}
+    plain = jj.materialize
+
+    def watched(df, label, keep=False):
+        out = plain(df, label, keep)
+        written.append(label)
+        if label == "jaccard-hits":
+            tables[len(tables)] = {r.key for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(jj, "materialize", watched)
+    monkeypatch.setattr(jj, "SLICE_KEYS", 100, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+    # no slice holds most of the keys, and each key is in one
+    sizes = [len(x) for x in tables.values()]
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes) and sum(sizes) == len(set().union(*tables.values()))
+    assert written.count("jaccard-shared") == 4
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from wireloom.llm.common import materialize
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        out = set()
+        while found.hasNext():
+            out.add(found.next().getName())
+        return {x for x in out if x.startswith("shuffle_")}
+
+    df, before = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count(), files()
+    out = materialize(df, "test")
+    assert sorted(r["count"] for r in out.collect()) == [142] * 1 + [143] * 6 and not files() - before
+    assert sum(r["count"] for r in df.collect()) == sum(r["count"] for r in df.collect()) == 1000
+
+
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_one_of_each_moves_no_texts_that_need_not(spark, monkeypatch, most):
+    monkeypatch.setattr(jj, "BROADCAST_IDS", most)
+    rows = [*families(7, 6), (None, "kept"), (500, None), (501, "b"), (501, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, (_, c) in brute(rows[:-4], 5, 80).items() if i == c}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jj.one_of_each(docs)
+        joins = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ("SortMergeJoin" in joins or "ShuffledHashJoin" in joins) == (most < 0)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got if r.doc_id is None or r.doc_id >= 500))) == sorted(map(str, [(None, "kept"), (500, None), (501, "a")]))
+    assert {r.doc_id for r in got} - {None, 500, 501} == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from .shingles import Bands, fold, parity_sketch, set_digest, shingle_hashes
 BROADCAST_IDS = 500_000
 #: Buckets of more sets than this are compared in square tiles of that side.
 TILE = 1024
+#: Block keys are joined in slices of the key space, one after the other: as many as give each so many keys, and up to SLICES.
+SLICE_KEYS, SLICES = 4_000_000, 4
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -60,11 +63,14 @@ def _block_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "key long, doc_id long")
 
 
+def _side(ids: DataFrame) -> DataFrame:
+    """ids as the side of a join with documents, whose texts stay where they are as long as ids can be broadcast."""
+    return F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids.hint("shuffle_hash")
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, text of the documents in ids (doc_id, distinct)."""
-    if small(ids, BROADCAST_IDS):
-        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    return docs.join(_side(ids), "doc_id", "left_semi")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -85,7 +91,27 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
     texts = materialize(_texts(docs, ids).dropDuplicates(["doc_id", "text"]), "jaccard-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return materialize(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "jaccard-links")
+    links = materialize(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(ids, texts)
+    return links
+
+
+def _hits(keyed: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """keyed (key, doc_id), written -> tables of key, doc_id of the classes that hold a key of several documents.
+
+    Most keys are of one document. What goes through shuffles is a slice of the keys at a time, so that their files take a
+    part of the keys' own size at once.
+    """
+    n = max(1, min(SLICES, -(-keyed.count() // SLICE_KEYS)))
+    out = []
+    for i in range(n):
+        mine = keyed.where(F.pmod("key", F.lit(n)) == i)
+        shared = mine.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+        shared = materialize(shared, "jaccard-shared")
+        found = mine.join(spread(shared, "key"), "key").join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
+        out.append(materialize(found, "jaccard-hits"))
+        discard(shared)
+    return out
 
 
 def _sketches(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -197,13 +223,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # classes of a key are distinct before anything is gathered by key, and a key's rows are only ever aggregated and joined
     # with one row per key, so a hot key is spread over all tasks that met it
     keyed = materialize(_block_keys(docs, k, percent), "jaccard-keys")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    hits = keyed.join(spread(shared, "key"), "key").join(classes.select("doc_id", "class_id"), "doc_id").select("key", F.col("class_id").alias("doc_id")).distinct()
-    hits = materialize(hits, "jaccard-hits")
+    slices = _hits(keyed, classes)
     discard(keyed)
+    hits = reduce(DataFrame.union, slices)
     hubs = hits.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub <> hi").select("key", "hub")
     members = materialize(hits.join(spread(hubs, "key"), "key").select("key", "doc_id", "hub"), "jaccard-members")
-    discard(hits)
+    discard(*slices)
 
     # a doc_id with several texts belongs to several classes, which are one document
     links = classes.where("class_id <> other").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
@@ -236,12 +261,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = jaccard_components(docs, k, percent)
     ids = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "jaccard-kept")
-    gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id"))
-    again = ids.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias("_near_id"))
-    kept = docs.join(gone, docs["doc_id"] == gone["_near_id"], "left_anti")
-    single = kept.join(again, kept["doc_id"] == again["_near_id"], "left_anti")
+    not_single = _side(ids.where("doc_id <> component_id or rows > 1").select(F.col("doc_id").alias("_near_id")))
+    again = _side(ids.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias("_near_id")))
+    single = docs.join(not_single, docs["doc_id"] == not_single["_near_id"], "left_anti")
     # few rows as a rule; the least row of an id is found in each task before rows move
-    several = kept.join(again, kept["doc_id"] == again["_near_id"], "left_semi")
+    several = docs.join(again, docs["doc_id"] == again["_near_id"], "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     least = several.groupBy(F.col("doc_id").alias("_near_id")).agg(F.min_by(row, F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))).alias("_near_row"))
     return single.unionByName(least.select(*[F.col("_near_row").getField(c).alias(c) for c in docs.columns]))

@@ -19,6 +19,8 @@ QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}
 KEY_RANGES = 16384
 #: Up to so many sources their plan is broadcast (some 100 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Up to so many labels (some 16 bytes each) are broadcast to the documents; beyond, whole rows are joined to them by a shuffle.
+BROADCAST_LABELS = 500_000
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -62,7 +64,8 @@ def _mixed_rows(docs: DataFrame, quality: DataFrame | None, seed: str, weights,
     if quality is None:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     else:
-        rows = rows.join(quality.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+        best = quality.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        rows = rows.join(F.broadcast(best) if small(quality, BROADCAST_LABELS) else best, "doc_id", "left")
     weight = F.lit(1.0)
     for label, value in QUALITY_WEIGHTS.items():
         weight = F.when(F.col("quality") == label, F.lit(value)).otherwise(weight)
